@@ -1,0 +1,25 @@
+"""Queries over the core operators, by name, with the SQL that checks them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quillstone.operators import parse_rows
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return parse_rows.faulty_rows(_table(spark, d, "label_lines"), _table(spark, d, "eval_preds"))
+
+
+def p6_sound(spark: SparkSession, d: str) -> DataFrame:
+    return parse_rows.sound_rows(_table(spark, d, "label_lines"), _table(spark, d, "eval_preds"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"p6_found": p6_found, "p6_sound": p6_sound}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +48,11 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage of ``df`` by a reliable checkpoint, which outlives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: lineage is cut and the planner knows its size."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
