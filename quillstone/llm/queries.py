@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import spans, tokenize
+from quillstone.llm import overlap, pieces, spans, splits, tokenize, variants
 from quillstone.llm.sql import ORACLE
 
 
@@ -17,6 +17,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlapping_records(_table(spark, d, "train_records"))
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(_table(spark, d, "train_records"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.copies(_table(spark, d, "chunk_events"))
+
+
+def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
+    return variants.collapsed(_table(spark, d, "chunk_events"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.oversized(_table(spark, d, "chunks"))
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.split_oversized(_table(spark, d, "chunks"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.grouped_records(*(_table(spark, d, t) for t in ("train_records", "papers", "split_info")))
+
+
+def p5_splits(spark: SparkSession, d: str) -> DataFrame:
+    return splits.assign_splits(*(_table(spark, d, t) for t in ("train_records", "papers", "split_info")))[0]
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_corpus(_table(spark, d, "documents"))
 
@@ -35,6 +67,14 @@ def p10_kept(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_report": p1_report,
+        "p2_found": p2_found,
+        "p2_collapsed": p2_collapsed,
+        "p4_found": p4_found,
+        "p4_pieces": p4_pieces,
+        "p5_found": p5_found,
+        "p5_splits": p5_splits,
         "p8_ids": p8_ids,
         "p10_found": p10_found,
         "p10_shared": p10_shared,
