@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import overlap, pieces, spans, splits, tokenize, variants
+from quillstone.llm import answers, mixture, overlap, pieces, scanned, spans, splits, tokenize, variants
 from quillstone.llm.sql import ORACLE
 
 
@@ -33,6 +33,18 @@ def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return variants.collapsed(_table(spark, d, "chunk_events"))
 
 
+def _scanned(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [_table(spark, d, t) for t in ("chunks", "papers", "journals", "lexicon")]
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.line_defects(*_scanned(spark, d))
+
+
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.repaired(*_scanned(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.oversized(_table(spark, d, "chunks"))
 
@@ -49,10 +61,22 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(*(_table(spark, d, t) for t in ("train_records", "papers", "split_info")))[0]
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return answers.defective_answers(_table(spark, d, "eval_preds"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_corpus(_table(spark, d, "documents"))
 
 
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix_sources(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))[0]
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix_sources(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_pairs(_table(spark, d, "documents"))
 
@@ -71,11 +95,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_report": p1_report,
         "p2_found": p2_found,
         "p2_collapsed": p2_collapsed,
+        "p3_found": p3_found,
+        "p3_repaired": p3_repaired,
         "p4_found": p4_found,
         "p4_pieces": p4_pieces,
         "p5_found": p5_found,
         "p5_splits": p5_splits,
+        "p7_found": p7_found,
         "p8_ids": p8_ids,
+        "p9_mixture": p9_mixture,
+        "p9_report": p9_report,
         "p10_found": p10_found,
         "p10_shared": p10_shared,
         "p10_kept": p10_kept,
