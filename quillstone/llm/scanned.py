@@ -446,7 +446,7 @@ def _with_heads(chunks: DataFrame, papers: DataFrame, journals: DataFrame) -> Da
     info = info.select("paper_stem", "p.*").join(names, "journal_id", "left").drop("journal_id")
     counted = cut(rows.groupBy("paper_stem").agg(F.count("*").alias("n")))
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    known = counted.join(info, "paper_stem", "left").select("paper_stem", "short_title", "authors", "journal", "abbrev", "n")
+    known = cut(counted.join(info, "paper_stem", "left").select("paper_stem", "short_title", "authors", "journal", "abbrev", "n"))
     return attach(rows, known, ["paper_stem"], "n", total, "left")
 
 

@@ -312,7 +312,8 @@ def drop_repeated_sentences(docs: DataFrame, key: str = "doc_id", text: str = "t
     hashed = F.transform(F.sequence(F.lit(1), F.size("s") - run + 1), lambda i: F.xxhash64(F.concat_ws("\u0001", F.slice(bare, i, run))))
     spans = rows.where(F.size("s") >= run).select("key", F.posexplode(hashed).alias("pos", "span"))
     first = spans.groupBy("span").agg(F.min(F.struct("key", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    total = docs.count()
+    first = cut(first)
+    total = spans.count()
     later = attach(spans, first, ["span"], "n", total).where(F.struct("key", "pos") != F.col("first"))
     gone = later.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("pos"), F.col("pos") + run - 1)))).alias("gone"))
     out = rows.join(gone, "key", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))

@@ -78,29 +78,31 @@ def _star(links: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node reachable over ``edges`` (u, v), for every row of ``nodes`` (node)."""
-    degree = edges.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("n"))
+    """node, root: the smallest node reachable over ``edges`` (u, v), for every row of ``nodes`` (node).
+
+    Each round hooks every node and its present root to the smallest root next to it and then jumps
+    pointers once; it is one plan and one checkpoint.
+    """
     total = edges.count()
-    labels = cut(nodes.distinct().withColumn("root", F.col("node")))
     if not total:
-        return labels
+        return nodes.distinct().withColumn("root", F.col("node"))
+    both = cut(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     # the hub of a key may be linked to a third of all papers: it is met through attach
-    sized = cut(degree)
+    degree = cut(both.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("n")))
+    linked = degree.select("node", F.col("node").alias("root"), F.lit(True).alias("moved"), "n")
     while True:
-        hubs = sized.join(labels, "node").select(F.col("node").alias("v"), F.col("root").alias("root_v"), "n")
-        ends = edges.join(labels.select(F.col("node").alias("u"), F.col("root").alias("root_u")), "u")
-        seen = attach(ends, hubs, ["v"], "n", total).where("root_u <> root_v").select(F.greatest("root_u", "root_v").alias("node"), F.least("root_u", "root_v").alias("to"))
-        hooks = cut(seen.groupBy("node").agg(F.min("to").alias("to")))
-        if hooks.isEmpty():
-            return labels
-        # pointer jumping among the hooked roots: to(to(x)) until nothing moves
-        while True:
-            jump = hooks.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            moved = cut(hooks.join(jump, "to", "left").select("node", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("m")))
-            hooks = moved.select("node", "to")
-            if moved.where("m").isEmpty():
-                break
-        labels = cut(labels.join(hooks.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        known = linked.select(F.col("node").alias("v"), F.col("root").alias("root_v"), "n")
+        near = attach(both, known, ["v"], "n", 2 * total).groupBy(F.col("u").alias("node")).agg(F.min("root_v").alias("near"))
+        met = linked.join(near, "node").select("node", "root", "n", F.least("root", "near").alias("low"))
+        hooks = met.select("node", "low").unionByName(met.select(F.col("root").alias("node"), "low")).groupBy("node").agg(F.min("low").alias("low"))
+        hooked = linked.join(hooks, "node").select("node", "root", "n", F.least("root", "low").alias("low"))
+        above = hooked.select(F.col("node").alias("low"), F.col("low").alias("next"))
+        jumped = hooked.join(above, "low").select("node", F.least("low", "next").alias("root"), (F.col("root") != F.least("low", "next")).alias("moved"), "n")
+        linked = cut(jumped)
+        if linked.where("moved").isEmpty():
+            break
+    roots = linked.select("node", "root")
+    return nodes.distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def paper_components(records: DataFrame, papers: DataFrame, split_info: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -108,7 +110,7 @@ def paper_components(records: DataFrame, papers: DataFrame, split_info: DataFram
     owned = cut(record_papers(records, split_info))
     links = cut(paper_links(papers, split_info))
     nodes = papers.select(F.col("paper_stem").alias("node")).unionByName(links.select(F.col("paper_stem").alias("node"))).unionByName(owned.select(F.col("paper_stem").alias("node"))).where("node IS NOT NULL")
-    return owned, components(nodes, cut(_star(links)))
+    return owned, cut(components(nodes, cut(_star(links))))
 
 
 def grouped_records(records: DataFrame, papers: DataFrame, split_info: DataFrame) -> DataFrame:
@@ -117,7 +119,7 @@ def grouped_records(records: DataFrame, papers: DataFrame, split_info: DataFrame
     several = labels.groupBy("root").agg(F.count("*").alias("k")).where("k > 1").select("root")
     grouped = labels.join(several, "root", "left_semi")
     sizes = owned.groupBy(F.col("paper_stem").alias("node")).agg(F.count("*").alias("n"))
-    known = grouped.join(sizes, "node").select(F.col("node").alias("paper_stem"), F.col("root").alias("group_stem"), "n")
+    known = cut(grouped.join(sizes, "node").select(F.col("node").alias("paper_stem"), F.col("root").alias("group_stem"), "n"))
     return attach(owned, known, ["paper_stem"], "n", owned.count()).select("record_id", "group_stem")
 
 
@@ -154,7 +156,7 @@ def assign_splits(records: DataFrame, papers: DataFrame, split_info: DataFrame,
         old = state.select(F.col("paper_stem").alias("u"), F.col("root").alias("v")).where("u <> v")
         nodes = labels.select("node").unionByName(state.select(F.col("paper_stem").alias("node")))
         now = labels.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v")
-        labels = components(nodes, cut(old.unionByName(now).distinct()))
+        labels = cut(components(nodes, cut(old.unionByName(now).distinct())))
     else:
         state = labels.select(F.col("node").alias("paper_stem"), "root").limit(0).withColumn("split", F.lit(None).cast("string"))
     kept = labels.join(state.select(F.col("paper_stem").alias("node"), F.col("split").alias("old_split")), "node", "left")
@@ -178,7 +180,7 @@ def assign_splits(records: DataFrame, papers: DataFrame, split_info: DataFrame,
             F.coalesce("conflict", F.lit(False)).alias("conflict"),
         )
     )
-    known = table.join(sizes.withColumnRenamed("node", "paper_stem"), "paper_stem")
+    known = cut(table.join(sizes.withColumnRenamed("node", "paper_stem"), "paper_stem"))
     placed = attach(with_paper, known, ["paper_stem"], "n", owned.count()).select("record_id", "paper_stem", F.col("root").alias("group_stem"), "split", "conflict")
     single = chosen.where(F.col("group").startswith("record:")).select(F.substring_index("group", ":", -1).cast(records.schema["record_id"].dataType).alias("record_id"), "split")
     alone = owned.where("paper_stem IS NULL").join(single, "record_id").select("record_id", "paper_stem", F.lit(None).cast("string").alias("group_stem"), "split", F.lit(False).alias("conflict"))
