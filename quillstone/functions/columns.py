@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,3 +15,8 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     a generator.
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, although ``body`` may use it many times or in lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

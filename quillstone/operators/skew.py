@@ -2,7 +2,8 @@
 
 ``attach`` adds the columns of a table with one row per key to a large table. Keys that hold more than
 ``1 / HOT_SHARE`` of the large side's rows can number at most ``HOT_SHARE``: that bound, not a guess,
-lets them be broadcast. All other keys go through an ordinary shuffled join, where none is hot.
+lets them be broadcast. All other keys go through an ordinary shuffled join, where none is hot. ``small``
+should be a checkpointed or written table, as it is read once more to see whether there are hot keys.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: At most this many keys can each hold more than 1/HOT_SHARE of all rows.
 HOT_SHARE = 2000
+#: Keys with fewer rows than this are never hot.
+LEAST_HOT = 1000
 
 
 def attach(big: DataFrame, small: DataFrame, keys: list[str], count_col: str, total: int, how: str = "inner") -> DataFrame:
@@ -20,7 +23,10 @@ def attach(big: DataFrame, small: DataFrame, keys: list[str], count_col: str, to
     Rows of ``big`` with a null key match nothing (they are kept by ``how="left"``). An empty side gives
     an empty (or null-filled) result. ``count_col`` is dropped from the result.
     """
-    least = max(int(total) // HOT_SHARE, 1)
+    least = max(int(total) // HOT_SHARE, LEAST_HOT)
+    if small.where(F.col(count_col) > F.lit(least)).isEmpty():
+        extra = [c for c in small.columns if c not in keys and c != count_col]
+        return big.join(small.drop(count_col), keys, how).select(*big.columns, *extra)
     hot = small.where(F.col(count_col) > F.lit(least)).drop(count_col)
     cold = small.where(F.col(count_col) <= F.lit(least)).drop(count_col)
     mark = hot.select(*keys).withColumn("__hot", F.lit(True))
