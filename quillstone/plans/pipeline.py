@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions.clean import clean_markdown
+from quillstone.functions.clean import clean_documents
 from quillstone.functions.divide import ChunkBudget, build_chunks
 from quillstone.functions.events import parse_events
 from quillstone.operators import dataset, evaluate, matching
@@ -28,7 +28,7 @@ def extract_events(chunks: DataFrame, extractor: Extractor, key: str = "doc_id")
 
 def score_documents(docs: DataFrame, extractor: Extractor, key: str = "doc_id", budget: ChunkBudget = ChunkBudget()) -> tuple[DataFrame, DataFrame]:
     """Markdown to (matches, flat report): clean, divide, extract, match; the stages in between are checkpoints."""
-    cleaned = cut(docs.select(key, clean_markdown(F.col("text")).alias("text")))
+    cleaned = cut(clean_documents(docs.select(key, "text")))
     events = cut(extract_events(build_chunks(cleaned, key, budget=budget), extractor, key))
     blocks = cut(matching.document_blocks(cleaned, key, budget=budget))
     matches = cut(matching.annotate(events, blocks, key, short_only=True))
