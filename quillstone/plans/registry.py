@@ -77,7 +77,7 @@ def sentence_split(spark, d):
 
 @query
 def levenshtein_titles(spark, d):
-    return _table(spark, d, "papers").select("paper_stem", F.levenshtein("title", "short_title").alias("distance"))
+    return _table(spark, d, "papers").select("paper_stem", F.levenshtein(F.regexp_replace("title", "[^ -~]", ""), F.regexp_replace("short_title", "[^ -~]", "")).alias("distance"))
 
 
 # ---------------------------------------------------------------- cleaning
