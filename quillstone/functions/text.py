@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillstone.functions.columns import let
+
 #: One white space character.
 WS = r"[\s\x1C-\x1F\x{85}]"
 
@@ -62,7 +64,8 @@ def contains_words(haystack: Column, needle: Column) -> Column:
 def lines_of(c: Column) -> Column:
     """The lines of a text; every kind of line break ends a line, one at the very end adds none."""
     same = F.regexp_replace(text(c), r"\r\n|[\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]", "\n")
-    return F.when(same == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(same, r"\n\z", ""), "\n", -1))
+    # the text is named once, so that rules over lines can be nested without computing it again
+    return let(same, lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(s, r"\n\z", ""), "\n", -1)))
 
 
 def preview(c: Column, n: int = 120) -> Column:

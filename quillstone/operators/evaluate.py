@@ -11,6 +11,7 @@ from quillstone.functions import fuzzy
 from quillstone.functions.columns import once
 from quillstone.functions.events import name_set, parse_events, prf
 from quillstone.functions.text import norm
+from quillstone.session import cut
 
 MIN_CHEMICAL = 0.4
 SIM_THRESHOLD = 0.65
@@ -68,15 +69,11 @@ def semantic_dedup(events: DataFrame, group: list[str], order: str, embedding: s
     return events.groupBy(*group).applyInPandas(scan, out)
 
 
-def _exact_pairs(pdf: pd.DataFrame) -> list[tuple[int, int]]:
-    """Greedy exact pairs in prediction order; each event is used once."""
-    used_p, used_g, out = set(), set(), []
-    for p, g in sorted(zip(pdf["p"], pdf["g"])):
-        if p not in used_p and g not in used_g:
-            used_p.add(p)
-            used_g.add(g)
-            out.append((p, g))
-    return out
+def _greedy(candidates: Column) -> Column:
+    """One-to-one pairs out of candidates sorted by preference: each is taken if both events are still free."""
+    start = F.filter(candidates, lambda c: F.lit(False))
+    taken = lambda acc, c: F.exists(acc, lambda x: (x["p"] == c["p"]) | (x["g"] == c["g"]))
+    return F.aggregate(candidates, start, lambda acc, c: F.when(taken(acc, c), acc).otherwise(F.concat(acc, F.array(c))))
 
 
 def match_events(gold: DataFrame, pred: DataFrame, key: str, description_sim=None, threshold: float = SIM_THRESHOLD) -> DataFrame:
@@ -84,8 +81,8 @@ def match_events(gold: DataFrame, pred: DataFrame, key: str, description_sim=Non
 
     Both inputs have key, pos, chemical, description. Exact pairs (same normalised description, shared
     chemical name) are taken first, in prediction order; then the pairs at or above ``threshold`` by falling
-    similarity, ties in prediction, then gold order. Candidates are joined on the key; the greedy choice
-    runs per key over the surviving candidates only. ``description_sim(p, g)`` may replace the fuzzy
+    similarity, ties in prediction, then gold order. Candidates are joined on the key, which is a record or a
+    paper; the greedy choice is a fold over the surviving candidates of one key. ``description_sim(p, g)`` may replace the fuzzy
     similarity of descriptions, for example by the cosine of embeddings.
     """
     extra = [c for c in gold.columns if c not in (key, "pos", "chemical", "description")]
@@ -97,22 +94,11 @@ def match_events(gold: DataFrame, pred: DataFrame, key: str, description_sim=Non
     gated = once(marked, "chem", F.when(F.col("same"), 1.0).otherwise(fuzzy.fuzzy_score(F.col("pc"), F.col("gc")))).where(F.col("chem") >= MIN_CHEMICAL)
     desc = fuzzy.fuzzy_score(F.col("pd"), F.col("gd")) if description_sim is None else description_sim(F.col, gated)
     scored = once(gated, "similarity", F.when(F.col("exact"), 1.0).otherwise(0.4 * F.col("chem") + 0.6 * desc)).where(F.col("exact") | (F.col("similarity") >= threshold))
-    kind = gold.schema[key].dataType.simpleString()
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [(p, g, "exact", 1.0) for p, g in _exact_pairs(pdf[pdf["exact"]])]
-        used_p, used_g = {x[0] for x in out}, {x[1] for x in out}
-        rest = sorted(zip(-pdf["similarity"], pdf["p"], pdf["g"]))
-        for s, p, g in rest:
-            if p not in used_p and g not in used_g:
-                used_p.add(p)
-                used_g.add(g)
-                out.append((p, g, "fuzzy", -s))
-        res = pd.DataFrame(out, columns=["p", "g", "how", "similarity"])
-        res.insert(0, key, pdf[key].iloc[0])
-        return res
-
-    return scored.select(key, "p", "g", "exact", "similarity").groupBy(key).applyInPandas(choose, f"`{key}` {kind}, p int, g int, how string, similarity double")
+    # exact pairs come first, in prediction order; the others by falling similarity
+    order = F.struct((~F.col("exact")).alias("fuzzy"), F.when(F.col("exact"), 0.0).otherwise(-F.col("similarity")).alias("by"), "p", "g")
+    grouped = scored.groupBy(key).agg(F.sort_array(F.collect_list(order)).alias("c"))
+    chosen = grouped.select(key, F.explode(_greedy(F.col("c"))).alias("m"))
+    return chosen.select(key, F.col("m.p").alias("p"), F.col("m.g").alias("g"), F.when(F.col("m.fuzzy"), "fuzzy").otherwise("exact").alias("how"), F.when(F.col("m.fuzzy"), -F.col("m.by")).otherwise(1.0).alias("similarity"))
 
 
 def compare_counts(gold: DataFrame, pred: DataFrame, matches: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -132,8 +118,8 @@ def answer_events(preds: DataFrame, key: str, side: str) -> DataFrame:
 
 def evaluate_records(preds: DataFrame, key: str = "pair_id") -> DataFrame:
     """The comparison of every record; repeated predictions of a record count once."""
-    gold = answer_events(preds, key, "gold")
-    pred = first_events(answer_events(preds, key, "pred"), [key], ["pos"])
+    gold = cut(answer_events(preds, key, "gold"))
+    pred = cut(first_events(answer_events(preds, key, "pred"), [key], ["pos"]))
     cols = [key, "pos", "chemical", "description"]
     return compare_counts(gold, pred, match_events(gold.select(cols), pred.select(cols), key), preds, key)
 
@@ -148,7 +134,7 @@ def evaluate_groups(preds: DataFrame, groups: DataFrame, key: str = "pair_id", g
         order = Window.partitionBy(group).orderBy(key, "pos")
         return first.select(group, (F.row_number().over(order) - 1).alias("pos2"), "chemical", "description").withColumnRenamed("pos2", "pos")
 
-    gold, pred = events("gold"), events("pred")
+    gold, pred = cut(events("gold")), cut(events("pred"))
     return compare_counts(gold, pred, match_events(gold, pred, group), mapped, group)
 
 
