@@ -440,7 +440,7 @@ def _lexicon(lexicon: DataFrame) -> tuple[str, ...]:
 
 def _with_heads(chunks: DataFrame, papers: DataFrame, journals: DataFrame) -> DataFrame:
     """The chunks with what may run at the head of their pages. One paper may hold any share of the chunks."""
-    rows = chunks.select("chunk_key", "paper_stem", "page_first", "page_last", "text").where("length(trim(text)) > 0")
+    rows = chunks.select("chunk_key", "paper_stem", "page_first", "page_last", "text").where(F.col("text").rlike(r"(?U)\S"))
     names = journals.groupBy("journal_id").agg(F.first("journal").alias("journal"), F.first("abbrev").alias("abbrev"))
     info = papers.where("paper_stem IS NOT NULL").groupBy("paper_stem").agg(F.first(F.struct("short_title", "authors", "journal_id")).alias("p"))
     info = info.select("paper_stem", "p.*").join(names, "journal_id", "left").drop("journal_id")
@@ -484,5 +484,5 @@ def repaired(chunks: DataFrame, papers: DataFrame, journals: DataFrame, lexicon:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["chunk_key", "repaired_text"])
 
     full = _with_heads(chunks, papers, journals).select(_INPUT).mapInArrow(run, "chunk_key bigint, repaired_text string")
-    rest = chunks.where("text IS NULL OR length(trim(text)) = 0").select("chunk_key", F.col("text").alias("repaired_text"))
+    rest = chunks.where(F.col("text").isNull() | ~F.col("text").rlike(r"(?U)\S")).select("chunk_key", F.col("text").alias("repaired_text"))
     return full.unionByName(rest)
