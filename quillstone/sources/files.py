@@ -35,6 +35,11 @@ def stem_of(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.url_decode(path), r"^.*/", ""), r"\.[^.]*$", "")
 
 
+def readable(c: Column) -> Column:
+    """The text without bytes that are no UTF-8."""
+    return F.replace(F.make_valid_utf8(c), F.lit("\ufffd"), F.lit(""))
+
+
 def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """doc_id, path, length of the files; contents are not read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
@@ -49,8 +54,8 @@ def read_binary(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> Dat
 
 def read_markdown(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
     """doc_id, text: whole files as UTF-8; bytes that are none are left out."""
-    found = spark.read.option("pathGlobFilter", pattern).option("wholetext", True).text(folder)
-    return found.select(stem_of(F.col("_metadata.file_path")).alias("doc_id"), F.replace(F.col("value"), F.lit("\ufffd"), F.lit("")).alias("text"))
+    found = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
+    return found.select(stem_of(F.col("_metadata.file_path")).alias("doc_id"), readable(F.col("value")).alias("text"))
 
 
 def read_lines(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
@@ -70,7 +75,7 @@ def read_jsonl(spark: SparkSession, path: str, stage: str) -> DataFrame:
     Places come from the whole text of each file, so they are exact and repeatable; blank lines count for
     nothing. A file is one row here; corpora are expected as tables.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     kept = F.filter(lines_of(F.col("text")), lambda x: strip(x) != "")
     rows = files.select("path", F.posexplode(kept).alias("pos", "line"))
     return rows.select((F.col("pos") + 1).alias("record_no"), F.from_json("line", SCHEMAS[stage]).alias("r")).select("record_no", "r.*")
@@ -78,8 +83,8 @@ def read_jsonl(spark: SparkSession, path: str, stage: str) -> DataFrame:
 
 def read_labels(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
     """doc_id, event_id, chemical, event_type, description_short, description_long of headerless label files."""
-    files = spark.read.option("pathGlobFilter", pattern).option("wholetext", True).text(folder)
-    docs = files.select(stem_of(F.col("_metadata.file_path")).alias("doc_id"), F.col("value").alias("text"))
+    files = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
+    docs = files.select(stem_of(F.col("_metadata.file_path")).alias("doc_id"), readable(F.col("value")).alias("text"))
     return label_events(read_lines(docs), "doc_id", "pos", "line")
 
 

@@ -12,16 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillstone.sources.files import stem_of
+from quillstone.sources.files import readable, stem_of
 
 
 def markdown_stream(spark: SparkSession, folder: str, pattern: str = "*.md", max_files: int | None = None) -> DataFrame:
     """doc_id, text of files as they arrive."""
-    reader = spark.readStream.option("pathGlobFilter", pattern).option("wholetext", True)
+    reader = spark.readStream.option("pathGlobFilter", pattern)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    found = reader.text(folder)
-    return found.select(stem_of(F.col("_metadata.file_path")).alias("doc_id"), F.replace(F.col("value"), F.lit("\ufffd"), F.lit("")).alias("text"))
+    found = reader.text(folder, wholetext=True)
+    return found.select(stem_of(F.col("_metadata.file_path")).alias("doc_id"), readable(F.col("value")).alias("text"))
 
 
 def table_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
