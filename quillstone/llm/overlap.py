@@ -3,8 +3,8 @@
 The passage of a record is what follows the last line ``Text:`` of its user message, or the whole user
 message. Its features are all runs of three consecutive lower-case words (runs of letters and digits),
 hashed to 64 bits. Passages with the same set of runs are one class. Per class, ``BANDS`` keys of ``ROWS``
-minwise hashes each are bucketed; buckets that do not hold both a training and a held-out class are
-dropped before any pairs are made, and only train-with-held-out pairs are made. Candidates are verified
+minwise hashes each are bucketed. The buckets of training classes are joined with those of held-out classes,
+so buckets of one kind drop out and only cross-split pairs are made. Candidates are verified
 by the exact Jaccard similarity of their run sets. With 64 bands of 4 rows a pair at 0.6 is missed with
 probability 1.4e-4 and one at 0.1 becomes a candidate with probability 0.6 per cent.
 
@@ -66,8 +66,8 @@ def band_keys(values: np.ndarray, offsets: np.ndarray, seed: int = 7) -> np.ndar
     return out.view(np.int64)
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
-    """cls, band, bucket of every class."""
+def _buckets(classes: DataFrame, name: str) -> DataFrame:
+    """``name`` and bucket of every class; the band is part of the bucket's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,13 +77,9 @@ def _buckets(classes: DataFrame) -> DataFrame:
                 offsets = np.asarray(lists.offsets, dtype=np.int64)
                 values = np.asarray(lists.values)[offsets[0] : offsets[-1]]
                 keys = band_keys(values, offsets - offsets[0])
-                n = part.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(keys.ravel())],
-                    names=["cls", "band", "bucket"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), BANDS)), pa.array(keys.ravel())], names=[name, "bucket"])
 
-    return classes.select("cls", "runs").mapInArrow(run, "cls bigint, band int, bucket bigint")
+    return classes.select("cls", "runs").mapInArrow(run, f"{name} bigint, bucket bigint")
 
 
 def _prepared(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -101,13 +97,10 @@ def class_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     A class that has both kinds of records pairs with itself.
     """
-    sides = classes.select("cls", "in_train", "in_held")
-    keys = cut(_buckets(classes).join(sides, "cls"))
-    mixed = keys.groupBy("band", "bucket").agg(F.max("in_train").alias("t"), F.max("in_held").alias("h"), F.count("*").alias("n")).where("t AND h AND n > 1").select("band", "bucket")
-    live = keys.join(mixed, ["band", "bucket"], "left_semi")
-    train = live.where("in_train").select("band", "bucket", F.col("cls").alias("t"))
-    held = live.where("in_held").select("band", "bucket", F.col("cls").alias("h"))
-    candidates = stored(train.join(held, ["band", "bucket"]).where("t <> h").select("t", "h").distinct())
+    # a bucket without a training or without a held-out class finds no partner in this join
+    train = _buckets(classes.where("in_train"), "t")
+    held = _buckets(classes.where("in_held"), "h")
+    candidates = stored(train.join(held, "bucket").where("t <> h").select("t", "h").distinct())
     sets_t = classes.select(F.col("cls").alias("t"), F.col("runs").alias("runs_t"))
     sets_h = classes.select(F.col("cls").alias("h"), F.col("runs").alias("runs_h"))
     both = candidates.join(sets_t, "t").join(sets_h, "h")
