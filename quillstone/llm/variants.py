@@ -44,12 +44,18 @@ def dictionary(values: DataFrame) -> DataFrame:
     return cut(forms.join(coded, "form").select("value", "n", "code"))
 
 
+def _handle(value: str = "value") -> list[Column]:
+    """96 bits that stand for a value in the join with the dictionary, so that records carry no texts there."""
+    return [F.xxhash64(value).alias("h1"), F.hash(value).alias("h2")]
+
+
 def encode(records: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
     """key, codes: the sorted codes of each record all of whose values have one."""
     cells = records.select(F.col(key).alias("key"), F.explode(F.array(*columns)).alias("value")).where("value IS NOT NULL")
     counted = cut(cells.groupBy("value").agg(F.count("*").alias("n")))
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    coded = attach(cells, dictionary(counted), ["value"], "n", total).select("key", "code")
+    known = dictionary(counted).select(*_handle(), "n", "code")
+    coded = attach(cells.select("key", *_handle()), known, ["h1", "h2"], "n", total).select("key", "code")
     return coded.groupBy("key").agg(F.sort_array(F.collect_list("code")).alias("codes")).where(F.size("codes") == len(columns))
 
 
