@@ -236,12 +236,19 @@ def _pairs(text: str) -> frozenset[str]:
     return frozenset(map("".join, zip(text, text[1:])))
 
 
+def _slack(head: str) -> int:
+    """Edits by which misread letters may change a head."""
+    return max(1, len(head) // 6) if len(head) > 6 else 0
+
+
 def _same_head(said: str, head: str) -> bool:
     if not said or not head:
         return False
-    limit = max(1, len(head) // 6) if len(head) > 6 else 0
+    limit = _slack(head)
     if abs(len(said) - len(head)) > limit:
         return False
+    if head in said:  # only a few more characters
+        return True
     # an edit touches at most two pairs of neighbours
     if len(_pairs(said) & _pairs(head)) < len(_pairs(head)) - 2 * limit:
         return False
@@ -260,6 +267,11 @@ def running_head_of(line: str, heads: list[str]) -> str | None:
     s = line.strip()
     if not heads or not s or len(s) > max(map(len, heads)) + 60:
         return None
+    # a head that the line shows has most of its letter pairs in the line
+    shown = frozenset(map("".join, zip(b := _bare(s), b[1:])))
+    heads = [h for h in heads if len(_pairs(h) & shown) >= len(_pairs(h)) - 2 * _slack(h)]
+    if not heads:
+        return None
     seen, queue = set(), [s]
     while queue:  # numbers are taken off either end, as far as they go
         x = queue.pop()
@@ -332,13 +344,13 @@ class PageReader:
         """page_number, running_header or none for each line."""
         out: list[str | None] = []
         for i, line in enumerate(lines):
-            kind = None
             s = line.strip()
-            if s and len(s) <= 160 and (any(c.isdigit() or c in "OolIiSB" for c in s) or heads):
-                # what the exact rules accept weighs most in the model; what it proposes is checked by them
-                said = self.pages.proposes(lines, i, first, last, heads) if len(s) < 100 or heads else "text"
-                if said != "text":
-                    kind = "page_number" if page_number_of(s, first, last) is not None else "running_header" if running_head_of(s, heads) else None
+            kind = None
+            if s and len(s) <= 160:
+                # both the exact rules and the model have to agree; the rules are asked first, as they are cheaper
+                kind = "page_number" if page_number_of(s, first, last) is not None else "running_header" if running_head_of(s, heads) else None
+                if kind and self.pages.proposes(lines, i, first, last, heads) == "text":
+                    kind = None
             out.append(kind)
         return out
 
