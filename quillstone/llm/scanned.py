@@ -2,16 +2,18 @@
 
 Two averaged perceptrons are trained here, on the driver, from the lexicon alone:
 
-* the character editor predicts keep, replace, delete, insert and line-join for each character; it is
+* the character editor scores keep, replace, delete, insert and line-join for each character; it is
   trained on lexicon words to which look-alike confusions and line cuts are applied (``TRAIN_WORDS`` words
-  at most, so training takes bounded time), and it ranks the edits of a word that is not in the lexicon;
+  at most, so training takes bounded time), and it ranks the edits of a word that lead into the lexicon;
 * the line model tells running text from page furniture by the shape of a line and its position on the
   page (neighbouring blanks and furniture, first or last line, page number in range, likeness to a running
   head); it is trained on pages composed from lexicon words.
 
-What they propose is then checked exactly: an edit counts only if the word it gives is in the lexicon; a
-page number only if it lies in the chunk's pages; a running head only if it is one of the paper's; a word
-cut at a line end only if its two parts form a word of the lexicon.
+Rules find the rows, the models generate none: every pair of ``CONFUSIONS`` is tried at every place of a
+word, and an edit counts if the word it gives is in the lexicon; a page number has to lie in the chunk's
+pages; a running head has to be one of the paper's; the two parts of a word cut at a line end have to form a
+word of the lexicon. The editor chooses among several edits, which matters to the repair only; it may veto a
+join, and the line model may veto a page number or running head.
 
 Edge cases: null and blank texts have no defects and stay as they are; a chunk of an unknown paper has no
 running heads; without page numbers no line is a page number; words known as they stand are never changed;
@@ -37,6 +39,9 @@ from quillstone.session import cut
 CONFUSIONS = (
     ("0", "o"), ("1", "l"), ("5", "s"), ("c", "e"), ("f", "t"), ("o", "a"), ("l", "i"), ("i", "l"), ("b", "h"), ("q", "g"),
     ("cl", "d"), ("rn", "m"), ("vv", "w"), ("ii", "u"), ("11", "ll"), ("m", "in"), ("h", "li"), ("n", "ri"), ("6", "b"), ("9", "g"),
+    # the same letters the other way round, and digits that look like two letters
+    ("e", "c"), ("t", "f"), ("a", "o"), ("h", "b"), ("g", "q"), ("d", "cl"), ("m", "rn"), ("w", "vv"), ("u", "ii"), ("in", "m"), ("li", "h"), ("ri", "n"),
+    ("8", "b"), ("6", "g"), ("1", "i"),
 )
 #: Signs that stand for a hyphen at a line end.
 HYPHENS = "-‐‑‒–¬­"
@@ -101,7 +106,7 @@ def edit_labels(read: str, true: str) -> list[str]:
 
 
 class CharacterEditor:
-    """Ranks look-alike edits and line joins; ``fix`` gives the best one that leads into the lexicon."""
+    """Ranks look-alike edits and vetoes line joins; ``fix`` gives the best edit that leads into the lexicon."""
 
     JOIN, BREAK = "join", "keep"
 
@@ -289,7 +294,7 @@ def running_head_of(line: str, heads: list[str]) -> str | None:
 
 
 class LineModel:
-    """Proposes page furniture by the shape of a line and its position on the page."""
+    """Tells page furniture by the shape of a line and its position on the page; only its veto is used."""
 
     LABELS = ["text", "page_number", "running_header"]
 

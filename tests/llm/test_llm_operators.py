@@ -100,6 +100,15 @@ def test_editor_restores_held_out_confusions(reader):
         assert reader.editor.fix(wrong) == right or (wrong == "feII"), wrong
 
 
+def test_look_alikes_count_both_ways():
+    words = "muscle cell fall of body gene hand liquid".split()
+    editor = scanned.CharacterEditor(words)
+    for wrong, right in (("musde", "muscle"), ("eell", "cell"), ("tall", "fall"), ("af", "of"), ("hody", "body"), ("8ody", "body"), ("6ene", "gene"), ("liguid", "liquid"), ("l1quid", "liquid")):
+        assert editor.fix(wrong) == right, wrong
+    found = scanned.page_reader(tuple(words)).read("the musde of\nthe cell", None, None, [])[0]
+    assert found == [(1, "misread")]
+
+
 def test_scanned_tables(spark):
     chunks = [(1, "p", 12, 13, "res-\nponse", None), (2, None, None, None, "rcceptor", None), (3, "p", 1, 1, None, None), (4, "p", 1, 1, " \n", None)]
     c = spark.createDataFrame(chunks, "chunk_key long, paper_stem string, page_first int, page_last int, text string, journal string")
