@@ -4,9 +4,10 @@ Sizes are tokens of a public tokenizer. With source sizes T, target weights w an
 mixture family is ``p(x) ~ w^(1-x) * T^x``: x = 0 gives the targets, x = 1 the natural proportions. The
 exponent is found by bisection: the smallest x at which no source would have to be repeated more than its
 limit for the wanted total (or at which the weights reach a wanted entropy). Without a wanted total the
-largest one is taken that the targets allow, so x stays 0 and every share is met. Sources without a single
-token cannot be used: their weight is spread over the others in proportion, and the report shows a share
-of 0. If even the natural proportions break a limit, the limited sources are filled up and the rest of the
+largest one is taken that the targets allow, so x stays 0 and every share is met. With ``at_least_all`` that
+total is not taken below the tokens of all sources that can be used, so a scarce source bends the shares
+instead of shrinking the mixture. Sources without a single token, or that may not be used even once, cannot
+be used: their weight is spread over the others in proportion, and the report shows a share of 0. If even the natural proportions break a limit, the limited sources are filled up and the rest of the
 budget is spread over the others, as far as it goes.
 
 Each source's budget is realised as whole passes over its documents and a part of one more pass, in an
@@ -53,19 +54,33 @@ def entropy(weights: dict[str, float]) -> float:
     return -math.fsum(w * math.log(w) for w in weights.values() if w > 0)
 
 
-def _bisect(good, rounds: int = 60) -> float:
-    """The smallest x in 0..1 with good(x), for good that stays true once true; 1 if there is none."""
-    if good(0.0):
-        return 0.0
-    lo, hi = 0.0, 1.0
+def _bisect(good, lo: float = 0.0, rounds: int = 60) -> float:
+    """The smallest x in lo..1 with good(x), for good that stays true once true; 1 if there is none."""
+    if good(lo):
+        return lo
+    hi = 1.0
     for _ in range(rounds):
         mid = (lo + hi) / 2
         lo, hi = (lo, mid) if good(mid) else (mid, hi)
     return hi
 
 
-def plan_mixture(targets: dict[str, float], sizes: dict[str, int], repeats: dict[str, int], total: int | None = None, min_entropy: float | None = None) -> tuple[float, dict[str, int]]:
+def _within(targets: dict[str, float], sizes: dict[str, int], room: dict[str, int], total: float) -> float:
+    """The smallest x at which no source has to give more than its room; 1 if there is none.
+
+    A source's log share is concave in x, so from a point where it is over its room it comes back once for all;
+    while x moves on, others may go over theirs.
+    """
+    over = lambda v: {s for s, w in tempered(targets, sizes, v).items() if w * total > room[s] * (1 + 1e-12)}
+    x = 0.0
+    while x < 1.0 and (bad := over(x)):
+        x = _bisect(lambda v: not bad & over(v), x)
+    return x
+
+
+def plan_mixture(targets: dict[str, float], sizes: dict[str, int], repeats: dict[str, int], total: int | None = None, min_entropy: float | None = None, at_least_all: bool = False) -> tuple[float, dict[str, int]]:
     """The exponent and each source's budget in tokens."""
+    sizes = {s: t for s, t in sizes.items() if repeats.get(s, 0) > 0}
     at_targets = tempered(targets, sizes, 0.0)
     if not at_targets:
         return 0.0, dict.fromkeys(targets, 0)
@@ -74,10 +89,12 @@ def plan_mixture(targets: dict[str, float], sizes: dict[str, int], repeats: dict
         x = _bisect(lambda v: entropy(tempered(targets, sizes, v)) >= min_entropy)
         weights = tempered(targets, sizes, x)
         total = min(room[s] / w for s, w in weights.items()) if total is None else total
-    elif total is None:
-        x, weights, total = 0.0, at_targets, min(room[s] / w for s, w in at_targets.items())
     else:
-        x = _bisect(lambda v: all(w * total <= room[s] * (1 + 1e-12) for s, w in tempered(targets, sizes, v).items()))
+        if total is None:
+            total = min(room[s] / w for s, w in at_targets.items())
+            if at_least_all:
+                total = max(total, sum(sizes[s] for s in at_targets))
+        x = _within(targets, sizes, room, total)
         weights = tempered(targets, sizes, x)
     budget, left, open_ = {}, float(total), dict(weights)
     while open_:  # sources at their limit are filled up, the rest is spread over the others
@@ -100,7 +117,7 @@ def _targets(mix: DataFrame) -> tuple[dict[str, float], dict[str, int]]:
     return {r["source"]: max(float(r["w"] or 0.0), 0.0) for r in rows}, {r["source"]: 1 if r["r"] is None else max(int(r["r"]), 0) for r in rows}
 
 
-def mix_sources(docs: DataFrame, mix: DataFrame, total: int | None = None, min_entropy: float | None = None, seed: int = 42, vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, mix: DataFrame, total: int | None = None, min_entropy: float | None = None, at_least_all: bool = False, seed: int = 42, vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> tuple[DataFrame, DataFrame]:
     """The mixture (doc_id, source, n_tokens, uses) and the report, one row for each listed source:
     source, target_share, share, tokens, source_tokens, n_docs, max_uses, exponent, target_met."""
     spark = docs.sparkSession
@@ -111,7 +128,7 @@ def mix_sources(docs: DataFrame, mix: DataFrame, total: int | None = None, min_e
     sized = cut(counted.where("n_tokens > 0").select("doc_id", "source", "n_tokens", block.alias("block")))
     blocks = cut(sized.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens")))
     sizes = {r["source"]: r["t"] for r in blocks.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
-    exponent, budget = plan_mixture(targets, sizes, repeats, total, min_entropy)
+    exponent, budget = plan_mixture(targets, sizes, repeats, total, min_entropy, at_least_all)
     plan = []
     for s in targets:
         t = sizes.get(s, 0)

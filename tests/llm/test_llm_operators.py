@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import answers, mixture, overlap, pieces, scanned, spans, splits, tokenize, variants
+from quillstone.llm import answers, mixture, overlap, pieces, queries, scanned, spans, splits, tokenize, variants
 
 PATH = tokenize.vocabulary_path("byte_bpe_50k")
 
@@ -281,6 +281,31 @@ def test_temperature():
     assert abs(mixture.entropy(mixture.tempered({"a": 0.99, "b": 0.01}, {"a": 10, "b": 10}, x)) - 0.5) < 1e-6
 
 
+def test_scarce_source_bends_the_registered_mixture(spark, tmp_path):
+    rows = [(i, "the cell " * 5, "big") for i in range(400)] + [(1000 + i, "the cell " * 5, "mid") for i in range(200)] + [(2000, "the cell " * 5, "tiny"), (3000, "the cell", "barred")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    targets = [("big", 0.4, 2), ("mid", 0.4, 2), ("tiny", 0.1, 3), ("barred", 0.1, 0)]
+    spark.createDataFrame(targets, "source string, weight double, max_repeats int").write.parquet(str(tmp_path / "mix_targets.parquet"))
+    report = {r.source: r for r in queries.p9_report(spark, str(tmp_path)).collect()}
+    assert 0 < report["big"].exponent < 1 and not report["tiny"].target_met and report["barred"].tokens == 0
+    used, there = sum(r.tokens for r in report.values()), sum(r.source_tokens for s, r in report.items() if s != "barred")
+    assert abs(used - there) <= 0.01 * there and report["tiny"].max_uses == 3
+    assert queries.p9_mixture(spark, str(tmp_path)).selectExpr("sum(n_tokens * uses)").first()[0] == used
+
+
+def test_exponent_is_the_smallest_that_keeps_all_limits():
+    rng = random.Random(5)
+    for _ in range(200):
+        names = "abcd"
+        targets = mixture.normalised({s: rng.random() ** 4 for s in names})
+        sizes, reps = {s: rng.randint(1, 10**6) for s in names}, {s: rng.randint(1, 4) for s in names}
+        x, budget = mixture.plan_mixture(targets, sizes, reps, at_least_all=True)
+        total = max(sum(sizes.values()), min(reps[s] * sizes[s] / targets[s] for s in names))
+        keeps = lambda v: all(w * total <= reps[s] * sizes[s] * (1 + 1e-9) for s, w in mixture.tempered(targets, sizes, v).items())
+        assert keeps(x) and not any(keeps(k / 500) for k in range(500) if k / 500 < x - 1e-9)
+        assert abs(sum(budget.values()) - total) <= 4
+
+
 # ---------------------------------------------------------------- 10
 
 
