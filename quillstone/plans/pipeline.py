@@ -11,7 +11,7 @@ from quillstone.functions.clean import clean_documents
 from quillstone.functions.divide import ChunkBudget, build_chunks
 from quillstone.functions.events import parse_events
 from quillstone.operators import dataset, evaluate, matching
-from quillstone.session import cut
+from quillstone.session import cut, stored
 
 #: Asks a model for event rows; a deterministic stand-in is used in tests.
 Extractor = Callable[[DataFrame], DataFrame]
@@ -27,11 +27,11 @@ def extract_events(chunks: DataFrame, extractor: Extractor, key: str = "doc_id")
 
 
 def score_documents(docs: DataFrame, extractor: Extractor, key: str = "doc_id", budget: ChunkBudget = ChunkBudget()) -> tuple[DataFrame, DataFrame]:
-    """Markdown to (matches, flat report): clean, divide, extract, match; the stages in between are checkpoints."""
-    cleaned = cut(clean_documents(docs.select(key, "text")))
-    events = cut(extract_events(build_chunks(cleaned, key, budget=budget), extractor, key))
-    blocks = cut(matching.document_blocks(cleaned, key, budget=budget))
-    matches = cut(matching.annotate(events, blocks, key, short_only=True))
+    """Markdown to (matches, flat report): clean, divide, extract, match; the stages in between are written to the shared folder."""
+    cleaned = stored(clean_documents(docs.select(key, "text")))
+    events = stored(extract_events(build_chunks(cleaned, key, budget=budget), extractor, key))
+    blocks = stored(matching.document_blocks(cleaned, key, budget=budget))
+    matches = stored(matching.annotate(events, blocks, key, short_only=True))
     return matches, matching.best_for_csv(events, matches, key)
 
 

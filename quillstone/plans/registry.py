@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from quillstone.functions import clean, divide, events, fuzzy, text
 from quillstone.functions.columns import once
 from quillstone.operators import dataset, evaluate, layout, matching, parse_rows, tables
+from quillstone.operators.skew import attach
+from quillstone.plans import pipeline
+from quillstone.session import cut
 from quillstone.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -535,14 +539,72 @@ def ocr_text(spark, d):
 # ---------------------------------------------------------------- pipeline
 
 
+def _stored_answers(spark, d):
+    """Extractor for ``pipeline.score_documents``: the stored events of the document's paper and chunk number stand in for the model's answers."""
+    ev = _table(spark, d, "chunk_events").where("event_key IS NOT NULL")
+    lines = F.sort_array(F.collect_list(F.struct("event_key", events.event_line(F.col("chemical"), F.col("event_type"), F.col("description")).alias("line"))))
+    answers = ev.groupBy("paper_stem", "chunk_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("answer"))
+    papers = _table(spark, d, "documents").select("doc_id", "paper_stem")
+
+    def extract(chunks: DataFrame) -> DataFrame:
+        asked = cut(chunks.select("doc_id", "chunk_id").join(papers, "doc_id"))
+        counted = asked.groupBy("paper_stem", "chunk_id").agg(F.count("*").alias("n"))
+        known = cut(answers.join(counted, ["paper_stem", "chunk_id"]))
+        # a chunk without stored events has an answer without rows
+        return attach(asked, known, ["paper_stem", "chunk_id"], "n", asked.count(), "left").drop("paper_stem").na.fill({"answer": "### END"})
+
+    return extract
+
+
+def _scored(spark, d):
+    return pipeline.score_documents(_table(spark, d, "documents"), _stored_answers(spark, d))
+
+
 @query
 def pipeline_report(spark, d):
-    """Documents to scored events, with the events extracted before standing in for the model."""
-    ev = _table(spark, d, "chunk_events").where("event_key IS NOT NULL")
-    answers = ev.groupBy("paper_stem", "chunk_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_key", events.event_line(F.col("chemical"), F.col("event_type"), F.col("description")).alias("line")))), lambda x: x["line"]), "\n").alias("answer"))
-    parsed = events.parse_events(answers, "answer")
-    lists = parsed.groupBy("paper_stem", "chunk_id").agg(F.count("*").alias("n_events"), F.countDistinct("chemical").alias("n_chemicals"))
-    return lists
+    """Documents to scored events: cleaned, divided, matched and reported, with stored events standing in for the model's answers."""
+    return _scored(spark, d)[1]
+
+
+@query
+def pipeline_matches(spark, d):
+    return _scored(spark, d)[0].select("doc_id", "event_id", "kind", "pos", "score", "chemical_found", "matched_variant", "rank_in_block")
+
+
+def _labelled(spark, d):
+    """The first load of each chunk, and the valid events."""
+    return _table(spark, d, "chunks").groupBy("paper_stem", "chunk_id").agg(F.min_by("text", "chunk_key").alias("text")), _valid(spark, d)
+
+
+@query
+def pipeline_dataset(spark, d):
+    """Labels to dataset: the numbered examples of the production split."""
+    return pipeline.label_dataset(*_labelled(spark, d), PROMPT)[0].select("paper_stem", "chunk_id", "split", "positive", "n_events", "line_no", "messages")
+
+
+@query
+def pipeline_dataset_stats(spark, d):
+    return pipeline.label_dataset(*_labelled(spark, d), PROMPT)[1]
+
+
+@query
+def pipeline_dataset_papers(spark, d):
+    return pipeline.label_dataset(*_labelled(spark, d), PROMPT)[2]
+
+
+@query
+def pipeline_folds(spark, d):
+    """The numbered examples of every fold."""
+    folds = pipeline.fold_datasets(*_labelled(spark, d), PROMPT)
+    rows = [df.select(F.lit(i).alias("fold"), "paper_stem", "chunk_id", "split", "positive", "line_no") for i, df in folds.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query
+def pipeline_predictions(spark, d):
+    """Predictions to metrics: the counts of every record, and their totals in the row without pair_id."""
+    counts, totals = pipeline.prediction_report(_table(spark, d, "eval_preds"))
+    return counts.unionByName(totals, allowMissingColumns=True)
 
 
 @query

@@ -3,7 +3,7 @@ import importlib
 from pyspark.sql import functions as F
 
 from quillstone.operators import dataset, layout, tables
-from quillstone.plans import pipeline
+from quillstone.plans import pipeline, registry
 from quillstone.sources import files
 from quillstone.streaming import incremental
 
@@ -126,6 +126,29 @@ def test_documents_to_report(spark):
     assert got == {"zinc oxide": (100.0, "Zinc oxide caused liver injury in rats."), "lead": (0.0, "")}
 
 
+def test_registered_pipeline_runs_over_whole_tables(spark, tmp_path):
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    said = "# Results.\nZinc oxide caused liver injury in rats.\n"
+    put("documents", [(1, said, "p00"), (2, said, "p00"), (3, said, None), (4, None, "p00")], "doc_id long, text string, paper_stem string")
+    put("chunks", [(10 * i + c, f"p{i:02d}", c, f"text {i} {c}") for i in range(20) for c in range(2)], "chunk_key long, paper_stem string, chunk_id int, text string")
+    ev = [(i, f"p{i:02d}", 0, "zinc oxide", "KE", "liver injury", "") for i in range(20)] + [(99, "p00", 0, "lead", "AO", "death", None), (100, "p00", 5, "lead", "AO", "no such chunk", None)]
+    put("chunk_events", ev, "event_key long, paper_stem string, chunk_id int, chemical string, event_type string, description string, matched_chemical_variant string")
+    put("eval_preds", [(7, '"zinc","KE","x"\n### END', '"zinc","KE","x"\n### END')], "pair_id long, gold string, pred string")
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    got = {(r.doc_id, r.chemical): (r.match_score, r.matched_text) for r in run("pipeline_report")}
+    assert got == {(d, c): ((100.0, "Zinc oxide caused liver injury in rats.") if c == "zinc oxide" else (0.0, "")) for d in (1, 2) for c in ("zinc oxide", "lead")}
+    assert {(r.doc_id, r.kind) for r in run("pipeline_matches")} == {(d, k) for d in (1, 2) for k in ("sentences", "lines", "paragraphs", "chunks")}
+    data = run("pipeline_dataset")
+    assert len(data) == 40 and {r.split for r in data} == {"train", "test"}
+    assert {r.split: r.total_chunks for r in run("pipeline_dataset_stats")}["all"] == 40 and len(run("pipeline_dataset_papers")) == 20
+    folds = run("pipeline_folds")
+    assert {r.fold for r in folds} == set(range(5))
+    assert sorted(r.paper_stem for r in folds if r.split == "test" and r.chunk_id == 0) == [f"p{i:02d}" for i in range(20)]
+    assert {r.pair_id: (r.tp, r.fp, r.fn) for r in run("pipeline_predictions")} == {7: (1, 0, 0), None: (1, 0, 0)}
+
+
 def test_registry_has_sql_only_for_its_queries():
     driver = importlib.import_module("__spark_entry__")
     assert set(driver.oracle_sql()) <= set(driver.queries())
