@@ -352,7 +352,7 @@ def cosine_neighbours(spark, d):
 
 @query
 def semantic_dedup(spark, d):
-    return evaluate.semantic_dedup(_table(spark, d, "embeddings"), ["label"], "vec_id", "embedding", 0.3).select("vec_id", "label")
+    return evaluate.semantic_dedup(_table(spark, d, "embeddings"), ["label"], "vec_id", "embedding", evaluate.DEDUP_THRESHOLD).select("vec_id", "label")
 
 
 @query

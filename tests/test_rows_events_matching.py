@@ -6,6 +6,7 @@ from quillstone.functions import events, fuzzy
 from quillstone.functions.columns import once
 from quillstone.operators import evaluate, matching, parse_rows
 from quillstone.operators.skew import attach
+from quillstone.plans import registry
 from quillstone.sources import files
 
 
@@ -171,6 +172,13 @@ def test_semantic_dedup(spark):
     assert sorted(r.pos for r in evaluate.semantic_dedup(df, ["grp"], "pos", "v").collect()) == [0, 2, 3, 4]
 
 
+def test_registered_dedup_drops_planted_near_copies_only(spark, tmp_path):
+    # cosines to the first vector: 0.9 (a near copy), 0.8 and 0.5 (no copies)
+    rows = [(0, 1, [1.0, 0.0, 0.0]), (1, 1, [0.9, 0.19**0.5, 0.0]), (2, 1, [0.8, -0.6, 0.0]), (3, 1, [0.5, 0.0, 0.75**0.5]), (4, 2, [0.9, 0.19**0.5, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert sorted(r.vec_id for r in registry.queries()["semantic_dedup"](spark, str(tmp_path)).collect()) == [0, 2, 3, 4]
+
+
 def test_hot_keys_join_alike(spark):
     rows = [(i, "hot" if i % 3 else f"k{i}") for i in range(6000)] + [(6000, None)]
     big = spark.createDataFrame(rows, "id int, k string")
