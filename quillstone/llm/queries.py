@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillstone.llm import answers, mixture, overlap, pieces, scanned, spans, splits, tokenize, variants
 from quillstone.llm.sql import ORACLE
+from quillstone.session import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +64,24 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(*(_table(spark, d, t) for t in ("train_records", "papers", "split_info")))[0]
 
 
+def _resumed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Splits of every second build with its papers; their state is written, and a second run goes on over all rows."""
+    records, papers, info = (_table(spark, d, t) for t in ("train_records", "papers", "split_info"))
+    early = F.col("build_id") % 2 == 0
+    old_records, old_info = records.where(early), info.where(early)
+    seen = splits.listed_papers(old_info).select("paper_stem").unionByName(splits.record_papers(old_records, old_info).select("paper_stem")).distinct()
+    state = stored(splits.assign_splits(old_records, papers.join(seen, "paper_stem", "left_semi"), old_info)[1])
+    return splits.assign_splits(records, papers, info, state)
+
+
+def p5_resumed(spark: SparkSession, d: str) -> DataFrame:
+    return _resumed(spark, d)[0]
+
+
+def p5_components(spark: SparkSession, d: str) -> DataFrame:
+    return _resumed(spark, d)[1]
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return answers.defective_answers(_table(spark, d, "eval_preds"))
 
@@ -102,6 +122,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_pieces": p4_pieces,
         "p5_found": p5_found,
         "p5_splits": p5_splits,
+        "p5_resumed": p5_resumed,
+        "p5_components": p5_components,
         "p7_found": p7_found,
         "p8_ids": p8_ids,
         "p9_mixture": p9_mixture,

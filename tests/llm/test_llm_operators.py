@@ -206,6 +206,23 @@ def test_splits_persist_and_conflicts_are_quarantined(spark):
     assert again.count() == 6
 
 
+def test_registered_splits_go_on_from_the_written_state(spark, tmp_path):
+    one = "struct<papers:array<struct<id:string,filename:string,chunk_ids:array<int>>>>"
+    names = [f"p{i:02d}" for i in range(20)]
+    listed = lambda ps: ([(x, f"{x}.json", [i]) for i, x in enumerate(ps)],)
+    spark.createDataFrame([(2, listed(names[:16]), ([],), ([],)), (3, listed(names[16:]), ([],), ([],))], f"build_id int, train {one}, validation {one}, test {one}").write.parquet(str(tmp_path / "split_info.parquet"))
+    # p16 of the later build ties every paper of the earlier one together; p17 belongs to p18
+    ids = {x: [i + 1] for i, x in enumerate(names)} | {"p16": list(range(1, 17)), "p17": [19]}
+    spark.createDataFrame([(x, [None] * len(a), a, None) for x, a in ids.items()], "paper_stem string, authors array<string>, author_ids array<long>, study_id string").write.parquet(str(tmp_path / "papers.parquet"))
+    spark.createDataFrame([(100 * b + i, b, "train", i, None) for b, n in ((2, 16), (3, 4)) for i in range(n)], "record_id long, build_id int, split string, line_no int, _paper_stem string").write.parquet(str(tmp_path / "train_records.parquet"))
+    table = {r.paper_stem: r for r in queries.queries()["p5_components"](spark, str(tmp_path)).collect()}
+    assert len({table[x].split for x in names[:16]}) > 1 and all(table[x].split for x in names[:16])  # they keep their splits
+    assert all(table[x].conflict for x in names[:17]) and table["p16"].split is None
+    assert table["p17"].split == table["p18"].split is not None and not table["p17"].conflict
+    rows = {r.record_id: r for r in queries.queries()["p5_resumed"](spark, str(tmp_path)).collect()}
+    assert len(rows) == 20 and all(r.split == table[r.paper_stem].split and r.conflict == table[r.paper_stem].conflict for r in rows.values())
+
+
 # ---------------------------------------------------------------- 7
 
 
