@@ -133,6 +133,16 @@ def clean_tables(spark, d):
     return _table(spark, d, "chunks").where("section_title IS NOT NULL").select("chunk_key", clean.drop_tables(body).alias("cleaned"))
 
 
+@query
+def clean_tables_in_text(spark, d):
+    """A table composed from the chunk's number stands after the first line of the whole text of every chunk, its title at the end."""
+    body, n = text.text("text"), text.text(F.col("chunk_id").cast("string"))
+    first = F.substring_index(body, "\n", 1)
+    table = F.concat(F.lit("\nbefore\n| a | b |\n|---|:-:|\n| "), n, F.lit(" | x |\n| last\nafter\n| no | table |\n"))
+    said = F.concat(first, table, F.substring(body, F.length(first) + 2, F.length(body)), F.lit("\n"), text.text("section_title"))
+    return _table(spark, d, "chunks").select("chunk_key", clean.drop_tables(said).alias("cleaned"))
+
+
 # ---------------------------------------------------------------- division
 
 

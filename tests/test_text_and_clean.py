@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from quillstone.functions import clean, divide, text
+from quillstone.plans import registry
 
 
 def one(spark, fn, *values, schema=None):
@@ -72,6 +73,14 @@ def test_pipeline_of_rules(spark):
     assert "lipoprotein" in got[1] and "1999" not in got[1] and "<!--" not in got[1]
 
 
+def test_tables_inside_whole_chunk_texts(spark, tmp_path):
+    rows = [(1, 7, "one two\n| p | q |\n|---|---|\n| 1 | 2 |", "Title"), (2, 8, "abcd", None), (3, None, None, None)]
+    spark.createDataFrame(rows, "chunk_key long, chunk_id int, text string, section_title string").write.parquet(str(tmp_path / "chunks.parquet"))
+    got = {r.chunk_key: r.cleaned for r in registry.queries()["clean_tables_in_text"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3} and got[2] == "abcd\nbefore\nafter\n| no | table |\n" and got[3] == "\nbefore\nafter\n| no | table |\n"
+    assert got[1].startswith("one two\n") and got[1].endswith("\nTitle") and "| 7 |" not in got[1] and "| a | b |" not in got[1]
+
+
 def test_sentences(spark):
     said = one(spark, divide.sentences, "In Fig. 2 we see 3.5 mg. The dose was high! (yes) e.g. This.  and lower. 'A' x")
     assert said == ["In fig. 2 we see 3.5 mg.", "The dose was high!", "(yes) e.g. This.  and lower.".replace("  ", " "), "'A' x"]
