@@ -1,33 +1,40 @@
 """Noise in text from scanned pages: find the defects of each line, and repair the text.
 
-Two averaged perceptrons are trained here, on the driver, from the lexicon alone:
-
-* the character editor scores keep, replace, delete, insert and line-join for each character; it is
-  trained on lexicon words to which look-alike confusions and line cuts are applied (``TRAIN_WORDS`` words
-  at most, so training takes bounded time), and it ranks the edits of a word that lead into the lexicon;
-* the line model tells running text from page furniture by the shape of a line and its position on the
-  page (neighbouring blanks and furniture, first or last line, page number in range, likeness to a running
-  head); it is trained on pages composed from lexicon words.
-
-Rules find the rows, the models generate none: every pair of ``CONFUSIONS`` is tried at every place of a
-word, and an edit counts if the word it gives is in the lexicon; a page number has to lie in the chunk's
-pages; a running head has to be one of the paper's; the two parts of a word cut at a line end have to form a
-word of the lexicon. The editor chooses among several edits, which matters to the repair only; it may veto a
-join, and the line model may veto a page number or running head.
+Two averaged perceptrons are trained on the driver, from at most ``TRAIN_WORDS`` words of the lexicon, and
+their weights travel to the tasks:
+
+* the character editor predicts keep, replace, delete and insert for the characters of a word, and join or
+  keep for a line end. It is trained on lexicon words into which look-alikes (``CONFUSIONS``) are put and
+  which are cut at every place, against pairs of words that only stand side by side. It generates the edits:
+  an operation is proposed where its score exceeds that of keep, and nothing else is tried;
+* the line model labels each line as text, page number or running header by its shape and its position on
+  the page (blank or full neighbours, first or last line, how near its number lies to the chunk's pages, how
+  many letter pairs of a running head it shows). It is trained on pages composed from lexicon words.
+
+What the models propose is then held against the definition, which only ever rejects: an edit has to turn a
+word that is not in the lexicon into one that is, by one pair of ``CONFUSIONS``; a join has to give a word
+of the lexicon; a page number has to lie in the chunk's pages; a running head has to be one of the paper's.
+Misread letters of furniture belong to the furniture; ``misread`` is told of running text.
+
+A lexicon of up to ``SHIPPED_WORDS`` words travels with the models. A larger one stays distributed: each chunk
+asks for the words it needs (its words, their proposed edits, its joined line ends), a join gives back
+those that exist, and the same reader runs with them.
 
 Edge cases: null and blank texts have no defects and stay as they are; a chunk of an unknown paper has no
 running heads; without page numbers no line is a page number; words known as they stand are never changed;
-line ends of any kind are read; an empty table gives an empty result.
+line ends of any kind are read; an empty lexicon leaves nothing to put back or to join; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Collection, Iterator
 from functools import lru_cache
+from itertools import accumulate, islice
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,174 +52,210 @@ CONFUSIONS = (
 )
 #: Signs that stand for a hyphen at a line end.
 HYPHENS = "-‐‑‒–¬­"
-TRAIN_WORDS = 1200
-LEXICON_LIMIT = 2_000_000
-_DIM = 1 << 15
+#: At most so many words of the lexicon train the models (bounded sample, in the order of their hashes).
+TRAIN_WORDS = 2000
+#: Up to this size a lexicon travels with the tasks, beyond it the texts are joined with it.
+SHIPPED_WORDS = 200_000
+_PAIRS = frozenset(CONFUSIONS)
+_LONGEST_READ = max(len(r) for r, _ in CONFUSIONS)
 
 _TOKEN = re.compile(r"[^\W_]+")
 _LEAD = re.compile(r"[^\W\d_]+")
 _TRAIL = re.compile(r"([^\W\d_]+)$")
 
+KEEP, JOIN, DELETE = "keep", "join", "delete"
 
-class AveragedPerceptron:
-    """Multi-class averaged perceptron over hashed binary features."""
 
-    def __init__(self, labels: list[str]):
-        self.labels, self.index = labels, {x: i for i, x in enumerate(labels)}
-        self.w = np.zeros((len(labels), _DIM))
-        self._sum = np.zeros_like(self.w)
-        self._t = 1
-
-    @staticmethod
-    def hashed(features: list[str]) -> np.ndarray:
-        return np.array([_stable(f) for f in features], dtype=np.int64)
-
-    def scores(self, at: np.ndarray) -> np.ndarray:
-        return self.w[:, at].sum(axis=1)
+class AveragedPerceptron:
+    """Multi-class averaged perceptron over string features; ties go to the label named first."""
+
+    def __init__(self) -> None:
+        self.w: dict[str, dict[str, float]] = {}
+
+    def scores(self, features: list[str], labels: Collection[str]) -> dict[str, float]:
+        out = dict.fromkeys(labels, 0.0)
+        for f in features:
+            row = self.w.get(f)
+            if row:
+                for label in out:
+                    out[label] += row.get(label, 0.0)
+        return out
 
-    def learn(self, examples: list[tuple[np.ndarray, int]], epochs: int, seed: int) -> None:
-        order = list(range(len(examples)))
-        rng = random.Random(seed)
+    def learn(self, examples: list[tuple[list[str], tuple[str, ...], str]], epochs: int, seed: int, margin: float = 1.0) -> None:
+        """``examples``: features, the labels that may stand there, the right one, which has to lead by ``margin``."""
+        sums: dict[str, dict[str, float]] = {}
+        rng, t = random.Random(seed), 1
+        order = list(examples)
         for _ in range(epochs):
             rng.shuffle(order)
-            for i in order:
-                at, gold = examples[i]
-                guess = int(self.scores(at).argmax())
-                if guess != gold:
-                    self.w[gold, at] += 1
-                    self.w[guess, at] -= 1
-                    self._sum[gold, at] += self._t
-                    self._sum[guess, at] -= self._t
-                self._t += 1
-        self.w -= self._sum / self._t
-        self._sum = np.zeros((1, 1))
-
-
-@lru_cache(maxsize=1 << 16)
-def _stable(feature: str) -> int:
-    h = 2166136261
-    for ch in feature:
-        h = ((h ^ ord(ch)) * 16777619) & 0xFFFFFFFF
-    return h % _DIM
+            wrong = 0
+            for features, labels, gold in order:
+                s = self.scores(features, labels)
+                best = s[gold] - margin
+                rival = max((x for x in labels if x != gold), key=s.__getitem__, default=None)
+                if rival is not None and s[rival] > best:
+                    wrong += 1
+                    for f in features:
+                        row, total = self.w.setdefault(f, {}), sums.setdefault(f, {})
+                        for label, step in ((gold, 1.0), (rival, -1.0)):
+                            row[label] = row.get(label, 0.0) + step
+                            total[label] = total.get(label, 0.0) + t * step
+                t += 1
+            if not wrong:
+                break
+        for f, total in sums.items():
+            self.w[f] = {label: round(w - total[label] / t, 4) for label, w in self.w[f].items()}
 
 
 def edit_labels(read: str, true: str) -> list[str]:
     """Operations on the characters of ``read`` that give ``true``."""
     if len(read) == len(true):
-        return [f"replace:{t}" for t in true]
+        return [f"replace:{x}" for x in true]
     if len(read) > len(true):
-        return [f"replace:{true}", *["delete"] * (len(read) - 1)]
+        return [f"replace:{true}", *[DELETE] * (len(read) - len(true))]
     return [f"replace:{true[0]}+insert:{true[1:]}"]
 
 
+def _labels_at() -> dict[str, tuple[str, ...]]:
+    out: dict[str, dict[str, None]] = {}
+    for read, true in CONFUSIONS:
+        for ch, label in zip(read, edit_labels(read, true)):
+            out.setdefault(ch, {KEEP: None})[label] = None
+    return {ch: tuple(labels) for ch, labels in out.items()}
+
+
+#: The operations that may stand at a character.
+LABELS_AT = _labels_at()
+
+
 class CharacterEditor:
-    """Ranks look-alike edits and vetoes line joins; ``fix`` gives the best edit that leads into the lexicon."""
-
-    JOIN, BREAK = "join", "keep"
-
-    def __init__(self, lexicon: list[str], seed: int = 13):
-        self.words = frozenset(w.lower() for w in lexicon)
-        labels = ["keep", "join"]
-        for read, true in CONFUSIONS:
-            for x in edit_labels(read, true):
-                if x not in labels:
-                    labels.append(x)
-        self.model = AveragedPerceptron(labels)
-        self._starts = frozenset(w[:i] for w in self.words for i in range(len(w) + 1))
-        self._ends = frozenset(w[i:] for w in self.words for i in range(len(w) + 1))
-        self._known: dict[str, str | None] = {}
-        self._train(seed)
-
-    def _features(self, w: str, i: int) -> np.ndarray:
-        p = f"^^{w}$$"
-        a, b, c, d, e = p[i : i + 5]
-        start, end = w[:i] in self._starts, w[i + 1 :] in self._ends
-        return AveragedPerceptron.hashed(
-            ["bias", f"c{c}", f"b{b}{c}", f"d{c}{d}", f"t{b}{c}{d}", f"l{a}{b}{c}", f"r{c}{d}{e}", f"g{c.isdigit()}{any(x.isdigit() for x in w)}", f"s{start}{c}", f"e{end}{c}", f"x{start}{end}{c}{d}"]
-        )
-
-    def _train(self, seed: int) -> None:
-        rng = random.Random(seed)
-        index, examples = self.model.index, []
-        pool = sorted(w for w in self.words if len(w) > 1)
-        if len(pool) > TRAIN_WORDS:
-            pool = rng.sample(pool, TRAIN_WORDS)
-        for w in pool:
-            sites = [(m.start(), read, true) for read, true in CONFUSIONS for m in re.finditer(re.escape(true), w)]
-            for at, read, true in rng.sample(sites, min(3, len(sites))):
-                broken = w[:at] + read + w[at + len(true) :]
-                gold = ["keep"] * len(broken)
-                gold[at : at + len(read)] = edit_labels(read, true)
-                examples += [(self._features(broken, i), index[g]) for i, g in enumerate(gold) if g != "keep" or abs(i - at) < 3]
-            if len(w) > 3:
-                at = rng.randrange(2, len(w) - 1)
-                examples.append((self._join_features(w[:at], w[at:]), index["join"]))
-                other = rng.choice(pool)
-                examples.append((self._join_features(w, other), index["keep"]))
-        if examples:
-            self.model.learn(examples, 3, seed)
-
-    def _join_features(self, left: str, right: str) -> np.ndarray:
-        return AveragedPerceptron.hashed(["jbias", f"jw{left + right in self.words}", f"jl{left in self.words}", f"jr{right in self.words}", f"js{left in self._starts}", f"je{right in self._ends}", f"jt{left[-2:]}", f"jh{right[:2]}"])
+    """Proposes the edits of a word and the joins of line ends, by the scores of an averaged perceptron."""
 
-    def joins(self, left: str, right: str) -> bool:
-        """Whether a line ending with ``left`` and a hyphen goes on with ``right`` as one word."""
-        left, right = left.lower(), right.lower()
-        s = self.model.scores(self._join_features(left, right))
-        return bool(s[self.model.index["join"]] > s[self.model.index["keep"]])
+    def __init__(self, sample: list[str], seed: int = 13):
+        self.model = AveragedPerceptron()
+        self._cache: dict[str, list[tuple[str, float]]] = {}
+        words = sorted({w for w in sample if len(w) > 1})
+        if words:
+            self.model.learn(self._examples(words, random.Random(seed)), 10, seed)
 
-    def fix(self, word: str) -> str | None:
-        """The lexicon word that ``word`` was misread from, or none."""
-        w = word.lower()
-        if w in self._known:
-            return self._known[w]
-        best, top = None, None
-        if w not in self.words and len(w) < 64:
+    @staticmethod
+    def _features(w: str, i: int) -> list[str]:
+        p = f"^^^{w}$$$"
+        a, b, c, d, e, f, g = p[i : i + 7]
+        return [f"c{d}", f"l{c}{d}", f"r{d}{e}", f"t{c}{d}{e}", f"L{b}{c}{d}", f"R{d}{e}{f}", f"m{b}{c}{d}{e}", f"M{c}{d}{e}{f}", f"w{b}{c}{d}{e}{f}", f"W{a}{b}{c}{d}{e}{f}{g}"]
+
+    @staticmethod
+    def _join_features(left: str, right: str) -> list[str]:
+        a, b = f"^^^{left}"[-4:], f"{right}$$$"[:4]
+        return ["J", f"Ja{a[3]}{b[0]}", f"Jb{a[2:]}{b[0]}", f"Jc{a[3]}{b[:2]}", f"Jd{a[2:]}{b[:2]}", f"Je{a[1:]}", f"Jf{b[:3]}", f"Jg{a[1:]}{b[:1]}", f"Jh{a[3]}{b[:3]}", f"Ji{a[1:]}{b[:3]}", f"Jk{a}{b}"]
+
+    def _examples(self, words: list[str], rng: random.Random) -> list[tuple[list[str], tuple[str, ...], str]]:
+        out, known = [], frozenset(words)
+        for w in words:
             for read, true in CONFUSIONS:
-                at = w.find(read)
+                labels = edit_labels(read, true)
+                at = w.find(true)
                 while at >= 0:
-                    put = w[:at] + true + w[at + len(read) :]
-                    if put in self.words:
-                        score = 0.0
-                        for k, label in enumerate(edit_labels(read, true)):
-                            s = self.model.scores(self._features(w, at + k))
-                            score += float(s[self.model.index[label]] - s[self.model.index["keep"]])
-                        if top is None or score > top:
-                            best, top = put, score
-                    at = w.find(read, at + 1)
-        if len(self._known) > 200_000:
-            self._known.clear()
-        self._known[w] = best
-        return best
+                    broken = w[:at] + read + w[at + len(true) :]
+                    if broken not in known:
+                        for i in range(max(at - 2, 0), min(at + len(read) + 2, len(broken))):
+                            if broken[i] in LABELS_AT:
+                                inside = at <= i < at + len(read)
+                                out.append((self._features(broken, i), LABELS_AT[broken[i]], labels[i - at] if inside else KEEP))
+                    at = w.find(true, at + 1)
+            for i in range(1, len(w)):
+                out.append((self._join_features(w[:i], w[i:]), (KEEP, JOIN), JOIN))
+            for other in (rng.choice(words) for _ in range(3)):
+                if w + other not in known:
+                    out.append((self._join_features(w, other), (KEEP, JOIN), KEEP))
+        return out
 
+    def joins(self, left: str, right: str) -> bool:
+        """Whether a line ending with ``left`` and a hyphen is predicted to go on with ``right`` as one word."""
+        s = self.model.scores(self._join_features(left.lower(), right.lower()), (KEEP, JOIN))
+        return s[JOIN] > s[KEEP]
 
-def _digits(text: str) -> int | None:
-    """A number whose digits may be misread."""
-    plain = text.translate(str.maketrans("OoQDlIiSsBZzgqb", "000011155822996"))
-    return int(plain) if plain.isdigit() and len(plain) < 10 else None
+    def proposals(self, word: str) -> list[tuple[str, float]]:
+        """The words that the predicted operations make of ``word``, best first.
 
+        An operation is predicted where it scores above keep; ``delete`` goes with the replacement before it.
+        """
+        w = word.lower()
+        got = self._cache.get(w)
+        if got is not None:
+            return got
+        found: dict[str, float] = {}
+        gains: list[dict[str, float]] = []
+        for i, ch in enumerate(w):
+            labels = LABELS_AT.get(ch)
+            s = self.model.scores(self._features(w, i), labels) if labels else {}
+            gains.append({x: v - s[KEEP] for x, v in s.items() if v > s[KEEP]})
+        for i, ops in enumerate(gains):
+            for label, gain in ops.items():
+                if label == DELETE:
+                    continue
+                put = label.removeprefix("replace:").replace("+insert:", "")
+                # one character, and those after it whose deletion or replacement is predicted too
+                total, j = gain, i + 1
+                while True:
+                    if (w[i:j], put) in _PAIRS:
+                        x = w[:i] + put + w[j:]
+                        found[x] = max(found.get(x, 0.0), total)
+                    if j >= len(w) or j - i >= _LONGEST_READ:
+                        break
+                    more = {x: v for x, v in gains[j].items() if x == DELETE or ("+" not in x and (w[i : j + 1], put + x[8:]) in _PAIRS)}
+                    if not more:
+                        break
+                    step = max(more, key=more.__getitem__)
+                    put, total, j = put + ("" if step == DELETE else step[8:]), total + more[step], j + 1
+        got = sorted(found.items(), key=lambda x: (-x[1], x[0]))
+        if len(self._cache) > 200_000:
+            self._cache.clear()
+        self._cache[w] = got
+        return got
+
+    def fix(self, word: str, words: Collection[str]) -> str | None:
+        """The best proposal that is in ``words``; none if the word is itself."""
+        if word.lower() in words:
+            return None
+        return next((x for x, _ in self.proposals(word) if x in words), None)
+
+
+_LOOKS = str.maketrans("OoQDlIiSsBZzgqb", "000011155822996")
+_NUMBER = re.compile(r"[0-9OoQDlIiSsBZzgqb]+")
+_PAGE_WORD = re.compile(r"p[ao0]g[ec]s?|pg|pp?", re.I)
+_DECIMAL = re.compile(r"\d\.\d")
+_VOLUME_WORD = re.compile(r"v[o0][l1](?:ume)?|no|pp?|p[ao0]g[ec]", re.I)
 
-_D = r"[0-9OoQDlIiSsBZzgqb]{1,9}"
-_PAGE = re.compile(rf"^[\s\W_]*?(?:(p[ao0]g[ec]s?|pg|pp?)\b[\s.:]*)?({_D})(?:\s*(?:/|[o0]f|out\s+[o0]f)\s*({_D}))?[\s\W_]*$", re.I)
-_TAIL = re.compile(r"(?:^|[\s|,;:·•()\[\]–—_/-]+)(?:(?:vol(?:ume)?|no|pp?|page)\.?\s*)?\(?\[?[0-9OoIlSB]{0,3}[0-9OlI][0-9OoIlSB]{0,4}[\]),.|\s–—-]*$", re.I)
-_HEAD = re.compile(r"^[\s|(\[–—-]*(?:(?:pp?|page)\.?\s*)?[0-9OoIlSB]{0,3}[0-9OlI][0-9OoIlSB]{0,4}[\])]?(?:\s*[|,;:·•–—]\s*|\s+[–—-]\s+|\s+)", re.I)
-_VOL = re.compile(r"[\s,;|]*\b(?:vol(?:ume)?|no)\.?\s*$", re.I)
+
+def _digits(text: str) -> int | None:
+    """A number whose digits may be misread; none for what is no number or exceeds any page."""
+    if not _NUMBER.fullmatch(text):
+        return None
+    plain = text.translate(_LOOKS).lstrip("0") or "0"
+    return int(plain) if len(plain) < 19 else None  # page numbers are 64-bit integers at most
 
 
 def page_number_of(line: str, first: int | None, last: int | None) -> int | None:
     """The page a line gives, if it gives nothing else and the page is one of the chunk's."""
-    if first is None or last is None or len(line) > 40:
-        return None
-    s = line.strip()
-    m = _PAGE.match(s)
-    if not m or not any(c.isalnum() for c in s):
+    if first is None or last is None:
         return None
-    if "." in s and re.search(r"\d\.\d", s):
+    # page word, number, "out of", total: a line of more words gives something else
+    tokens = list(islice(_TOKEN.finditer(line), 6))
+    if tokens and len(tokens) > 1 and _PAGE_WORD.fullmatch(tokens[0].group()):
+        tokens = tokens[1:]
+    if not tokens:
         return None
-    n = _digits(m.group(2))
-    if m.group(3) and _digits(m.group(3)) is None:
+    n, rest = _digits(tokens[0].group()), tokens[1:]
+    if n is None or not first <= n <= last:
         return None
-    return n if n is not None and first <= n <= last else None
+    if rest:
+        if not _NUMBER.fullmatch(rest[-1].group()):
+            return None
+        said = "".join(x.group() for x in rest[:-1]).lower().replace("0", "o")
+        if said not in ("", "of", "outof") or (not said and "/" not in line[tokens[0].end() : rest[0].start()]):
+            return None
+    return n
 
 
 def distance_within(a: str, b: str, limit: int) -> bool:
@@ -238,12 +281,12 @@ def _bare(text: str) -> str:
 
 @lru_cache(maxsize=1 << 14)
 def _pairs(text: str) -> frozenset[str]:
-    return frozenset(map("".join, zip(text, text[1:])))
+    return frozenset([text[i : i + 2] for i in range(len(text) - 1)])
 
 
 def _slack(head: str) -> int:
     """Edits by which misread letters may change a head."""
-    return max(1, len(head) // 6) if len(head) > 6 else 0
+    return len(head) // 6
 
 
 def _same_head(said: str, head: str) -> bool:
@@ -267,123 +310,183 @@ def heads_of(short_title: str | None, authors: list[str] | None, journal: str |
     return [h for h in dict.fromkeys(_bare(x) for x in said if x) if h]
 
 
+def _beside(word: str) -> bool:
+    """Whether a word may stand beside a running head: a number, perhaps misread, or what announces one."""
+    if _NUMBER.fullmatch(word):
+        return any(c.isdigit() for c in word) or not word.strip("OolI")
+    return bool(_VOLUME_WORD.fullmatch(word))
+
+
+def _shown(line: str, heads: list[str]) -> list[tuple[float, str]]:
+    """For each head the share of its letter pairs that the line shows."""
+    said = _bare(line)
+    pairs = {said[i : i + 2] for i in range(len(said) - 1)}
+    return [(len(_pairs(h) & pairs) / max(len(_pairs(h)), 1), h) for h in heads]
+
+
+def _near(shown: list[tuple[float, str]]) -> list[str]:
+    """The heads the line may show: an edit touches two letter pairs at most."""
+    return [h for share, h in shown if share * len(_pairs(h)) >= len(_pairs(h)) - 2 * _slack(h) - 1e-9]
+
+
 def running_head_of(line: str, heads: list[str]) -> str | None:
     """The head that a line shows, with at most volume, year and page number besides."""
-    s = line.strip()
-    if not heads or not s or len(s) > max(map(len, heads)) + 60:
+    near = _near(_shown(line, heads))
+    if not near:
         return None
-    # a head that the line shows has most of its letter pairs in the line
-    shown = frozenset(map("".join, zip(b := _bare(s), b[1:])))
-    heads = [h for h in heads if len(_pairs(h) & shown) >= len(_pairs(h)) - 2 * _slack(h)]
-    if not heads:
-        return None
-    seen, queue = set(), [s]
-    while queue:  # numbers are taken off either end, as far as they go
-        x = queue.pop()
-        if x in seen:
-            continue
-        seen.add(x)
-        bare = _bare(x)
-        for h in heads:
-            if _same_head(bare, h):
-                return h
-        for shorter in (_TAIL.sub("", x), _HEAD.sub("", x, count=1), _VOL.sub("", x)):
-            if shorter and shorter != x and len(seen) < 40:
-                queue.append(shorter)
+    words = re.sub(r"[^\w\s]", " ", line).split()
+    lead = next((i for i, w in enumerate(words) if not _beside(w)), len(words))
+    trail = next((i for i, w in enumerate(reversed(words)) if not _beside(w)), len(words))
+    words = [w.lower() for w in words]
+    ends = [0, *accumulate(len(w) + 1 for w in words)]  # with a space after each word
+    for h in near:
+        limit = _slack(h)
+        for i in range(lead + 1):
+            lo, hi = bisect_left(ends, ends[i] + len(h) + 1 - limit), bisect_right(ends, ends[i] + len(h) + 1 + limit)
+            for j in range(max(lo, len(words) - trail, i + 1), min(hi, len(words) + 1)):
+                if _same_head(" ".join(words[i:j]), h):
+                    return h
     return None
 
 
 class LineModel:
-    """Tells page furniture by the shape of a line and its position on the page; only its veto is used."""
-
-    LABELS = ["text", "page_number", "running_header"]
-
-    def __init__(self, lexicon: list[str], seed: int = 17):
-        self.model = AveragedPerceptron(self.LABELS)
-        rng = random.Random(seed)
-        words = sorted(lexicon)[:LEXICON_LIMIT] or ["text"]
-        examples = []
-        for _ in range(400):
-            head = " ".join(rng.choice(words) for _ in range(rng.randint(3, 9)))
-            lines, labels = [], []
-            for _ in range(rng.randint(2, 6)):
-                lines.append(" ".join(rng.choice(words) for _ in range(rng.randint(2, 12))) + rng.choice(["", ".", ",", "-"]))
-                labels.append(0)
-            first = rng.randint(1, 300)
-            at = rng.randint(0, len(lines))
-            n = str(rng.choice([first, first + 1]))
-            page = rng.choice([n, f"- {n} -", f"[{n}]", f"| {n} |", f"Page {n}", f"p. {n}", f"{n} / 400", f"PAGE {n} OF 400"])
-            shown = rng.choice([head, head.upper(), f"{head} | {n}", f"{n} {head}", f"{head} {rng.randint(1, 99)} ({rng.randint(1970, 2025)})"])
-            block = rng.choice([[(page, 1)], [(shown, 2)], [(page, 1), (shown, 2)], [(shown, 2), (page, 1)]])
-            blank = rng.choice([[], [("", 0)]])
-            rows = [*zip(lines[:at], labels[:at]), *blank, *block, *blank, *zip(lines[at:], labels[at:])]
-            text = [x for x, _ in rows]
-            for i, (x, y) in enumerate(rows):
-                if x:
-                    examples.append((self.features(text, i, first, first + 1, [_bare(head)]), y))
-        self.model.learn(examples, 3, seed)
+    """Labels the lines of a chunk by their shape and their position on the page."""
+
+    LABELS = TEXT, NUMBER, HEAD = "text", "page_number", "running_header"
+
+    def __init__(self, sample: list[str], seed: int = 17):
+        self.model = AveragedPerceptron()
+        rng, words, examples = random.Random(seed), sorted(set(sample)), []
+        # names that no lexicon holds stand in titles and texts too
+        words += ["".join(rng.choice("bdfglmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 5))) for _ in range(max(len(words) // 4, 300))]
+        for _ in range(700):
+            self._compose(rng, words, examples)
+        self.model.learn(examples, 6, seed)
+
+    @staticmethod
+    def _misread(rng: random.Random, s: str) -> str:
+        for _ in range(rng.choice([0, 0, 0, 1, 1, 2, 3, 5])):
+            read, true = rng.choice(CONFUSIONS)
+            at = s.lower().find(true, rng.randrange(len(s) + 1))
+            if at >= 0:
+                s = s[:at] + read + s[at + len(true) :]
+        return s
+
+    def _compose(self, rng: random.Random, words: list[str], examples: list) -> None:
+        """A page from lexicon words with its furniture, and lines that only look like furniture."""
+        some = lambda lo, hi: " ".join(rng.choice(words) for _ in range(rng.randint(lo, hi)))
+        heads = list(dict.fromkeys(some(*rng.choice([(1, 2), (2, 4), (3, 9), (8, 30)])) for _ in range(rng.randint(1, 4))))
+        first = int(10 ** rng.uniform(0, 4.5))
+        last = first + rng.choice([0, 1, 1, 1, 2, 9])
+        n = rng.randint(first, last)
+        noisy = str(n)
+        if rng.random() < 0.25:
+            for digit, look in (("0", "O"), ("1", "l"), ("5", "S"), ("8", "B")):
+                if digit in noisy and rng.random() < 0.7:
+                    noisy = noisy.replace(digit, look, 1)
+        page = rng.choice(["{}", "{} / {1}", "{}/{1}", "{} of {1}", "    {}", "- {} -", "– {} –", "[{}]", "| {} |", "({})", "Page {}", "page {}", "PAGE {}", "p. {}", "pp. {}", "page {} of {1}", "PAGE {} OF {1}", "page {} out of {1}", "--- {} ---"]).replace("{}", "{0}").format(noisy, last + rng.randint(0, 400))
+        head = rng.choice(heads)
+        head = rng.choice([head, head.upper(), head.title(), head.capitalize(), head.replace(" ", ". ") + "."])
+        shown = rng.choice(["{0}", "{0}", "{0} | {1}", "{1}    {0}", "{1} {0}", "{0}    {1}", "{0}, vol. {2}, {3}", "{0}, vol. {2}, {3}    {1}", "{0} {2} ({3})", "{0} {2} ({3}) {1}", "{0} {2}, no. 4, {3}", "{0} et al."]).format(self._misread(rng, head), noisy, rng.randint(1, 99), rng.randint(1950, 2025))
+        text = lambda: some(1, 14) + rng.choice(["", "", ".", ",", "-", f" {rng.randint(1, 500)}", f" at {rng.randint(1, 99)}.5 mg", f" {n} " + some(1, 4)])
+        decoy = [rng.choice([str(last + rng.randint(1, 900)), f"n = {n}", f"{n}.{rng.randint(0, 9)}", f"{n} mg", f"in {n} days", rng.choice(words), f"{head} {some(3, 12)}.", f"{some(1, 3)} {head} {some(2, 9)}", f"# {some(1, 5)}"])]
+        rows = [(text(), self.TEXT) for _ in range(rng.randint(1, 8))] + [(x, self.TEXT) for x in decoy if rng.random() < 0.6]
+        rng.shuffle(rows)
+        if shown.endswith("et al.") and "et al" not in head:
+            heads.append(_bare(f"{head} et al."))
+        block = rng.choice([[(page, self.NUMBER)], [(shown, self.HEAD)], [(page, self.NUMBER), (shown, self.HEAD)], [(shown, self.HEAD), (page, self.NUMBER)]])
+        blank = rng.choice([[], [], [("", self.TEXT)]])
+        at = rng.randint(0, len(rows))
+        rows = [*rows[:at], *blank, *block, *blank, *rows[at:]]
+        lines = [x for x, _ in rows]
+        for i, (x, y) in enumerate(rows):
+            if x:
+                examples.append((self.features(lines, i, first, last, [_bare(h) for h in heads]), self.LABELS, y))
 
     @staticmethod
-    def features(lines: list[str], i: int, first: int | None, last: int | None, heads: list[str]) -> np.ndarray:
+    def features(lines: list[str], i: int, first: int | None, last: int | None, heads: list[str], shown: list[tuple[float, str]] | None = None) -> list[str]:
         s = lines[i].strip()
-        shape = re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", "w", s))[:12]
-        digits = sum(c.isdigit() for c in s) * 4 // max(len(s), 1)
+        tokens = [m.group() for m in islice(_TOKEN.finditer(s), 8)]
+        numbers = [x for x in tokens if _beside(x)]
+        values = [v for v in map(_digits, numbers[:4]) if v is not None]
+        where = "none" if not values else "unknown" if first is None or last is None else "in" if any(first <= v <= last for v in values) else "out"
         before = "start" if i == 0 else "blank" if not lines[i - 1].strip() else "full"
         after = "end" if i + 1 == len(lines) else "blank" if not lines[i + 1].strip() else "full"
-        number, head = page_number_of(s, first, last) is not None, running_head_of(s, heads) is not None
-        stop = s[-1:] in ".!?:"
-        return AveragedPerceptron.hashed(["bias", f"shape{shape}", f"digits{digits}", f"len{min(len(s) // 8, 9)}", f"before{before}", f"after{after}", f"number{number}", f"head{head}", f"nh{number}{head}", f"stop{stop}", f"pos{before}{after}{number}{head}"])
+        size, plain = len(tokens), min(len(tokens) - len(numbers), 4)
+        share, head = max(_shown(s, heads) if shown is None else shown, default=(0.0, ""))
+        like, extra = int(share * 8 + 1e-9), min(max(len(s) - len(head), 0) // 6, 9) if head else -1
+        letters = sum(map(str.isalpha, s)) - sum(map(str.isalpha, head))
+        more = max(min(letters // 3, 6), -4) if head else 9
+        page = bool(tokens) and bool(_PAGE_WORD.fullmatch(tokens[0]))
+        marks = f"{'/' in s}{bool(_DECIMAL.search(s))}"
+        return [f"n{size}", f"p{plain}", f"np{size}{plain}{marks}", f"v{where}", f"vp{where}{plain}{page}{marks}", f"h{like}", f"he{like},{extra}", f"hn{like},{plain}", f"d{more}", f"hd{like},{more}", f"b{before}", f"a{after}", f"ba{before}{after}{where}{plain}", f"bh{before}{after}{like}", f"s{s[-1:] in '.!?:'}", f"u{s.isupper()}{like}", f"w{page}{size}"]
 
-    def proposes(self, lines: list[str], i: int, first: int | None, last: int | None, heads: list[str]) -> str:
-        return self.LABELS[int(self.model.scores(self.features(lines, i, first, last, heads)).argmax())]
+    def proposes(self, lines: list[str], i: int, first: int | None, last: int | None, heads: list[str], shown: list[tuple[float, str]] | None = None) -> list[str]:
+        """The kinds of furniture that score above running text, best first."""
+        s = self.model.scores(self.features(lines, i, first, last, heads, shown), self.LABELS)
+        return sorted((x for x in (self.NUMBER, self.HEAD) if s[x] > s[self.TEXT]), key=lambda x: -s[x])
 
 
 class PageReader:
-    """Defects and repair of one chunk."""
+    """Defects and repair of a chunk; ``words`` holds the lexicon, or the part of it the chunk may need."""
 
-    def __init__(self, lexicon: tuple[str, ...]):
-        words = [w for w in lexicon if w]
-        self.editor, self.pages = CharacterEditor(words), LineModel(words)
+    def __init__(self, sample: list[str]):
+        self.editor, self.pages = CharacterEditor(sample), LineModel(sample)
 
     def furniture(self, lines: list[str], first: int | None, last: int | None, heads: list[str]) -> list[str | None]:
-        """page_number, running_header or none for each line."""
+        """page_number, running_header or none for each line: what the model proposes, if the line is one by definition."""
         out: list[str | None] = []
         for i, line in enumerate(lines):
-            s = line.strip()
             kind = None
-            if s and len(s) <= 160:
-                # both the exact rules and the model have to agree; the rules are asked first, as they are cheaper
-                kind = "page_number" if page_number_of(s, first, last) is not None else "running_header" if running_head_of(s, heads) else None
-                if kind and self.pages.proposes(lines, i, first, last, heads) == "text":
-                    kind = None
+            shown = _shown(line, heads)
+            # a line of many words that shows no head cannot be furniture, so the model need not be asked
+            if line.strip() and (_near(shown) or sum(1 for _ in islice(_TOKEN.finditer(line), 6)) < 6):
+                for x in self.pages.proposes(lines, i, first, last, heads, shown):
+                    if page_number_of(line, first, last) is not None if x == LineModel.NUMBER else running_head_of(line, heads):
+                        kind = x
+                        break
             out.append(kind)
         return out
 
-    def read(self, text: str, first: int | None, last: int | None, heads: list[str]) -> tuple[list[tuple[int, str]], list[str | None], dict[int, int]]:
+    @staticmethod
+    def _line_ends(lines: list[str], kinds: list[str | None]) -> Iterator[tuple[int, int, str, str]]:
+        """Lines of running text that end with a hyphen, the one each goes on in, and the letters on both sides."""
+        running = [i for i, k in enumerate(kinds) if k is None and lines[i].strip()]
+        for here, after in zip(running, running[1:]):
+            s = lines[here].strip()
+            if s[-1] in HYPHENS:
+                left, right = _TRAIL.search(s[:-1].rstrip()), _LEAD.match(lines[after].strip())
+                if left and right:
+                    yield here, after, left.group(1).lower(), right.group().lower()
+
+    def needed(self, text: str, first: int | None, last: int | None, heads: list[str]) -> set[str]:
+        """Every word whose presence in the lexicon ``read`` and ``repair`` may ask for."""
+        lines = text.split("\n")
+        asked = {x.lower() for x in _TOKEN.findall(text)}
+        for _, _, left, right in self._line_ends(lines, self.furniture(lines, first, last, heads)):
+            asked |= {left, right, left + right}
+        # repair mends joined words, and words whose neighbours were joined to them
+        return asked | {y for x in list(asked) for y, _ in self.editor.proposals(x)}
+
+    def read(self, text: str, first: int | None, last: int | None, heads: list[str], words: Collection[str]) -> tuple[list[tuple[int, str]], list[str | None], dict[int, int]]:
         """(line, defect) pairs, furniture by line, and joins: line index -> index of the line it goes on in."""
         lines = text.split("\n")
         kinds = self.furniture(lines, first, last, heads)
-        running = [i for i, k in enumerate(kinds) if k is None and lines[i].strip()]
         joins: dict[int, int] = {}
         cut_ends: set[int] = set()  # lines whose last word is a fragment
         cut_starts: set[int] = set()  # lines whose first word is one
-        for here, after in zip(running, running[1:]):
-            s = lines[here].strip()
-            if s[-1] not in HYPHENS:
-                continue
-            left, right = _TRAIL.search(s[:-1].rstrip()), _LEAD.match(lines[after].strip())
-            if not left or not right:
-                continue
-            word = (left.group(1) + right.group()).lower()
-            if word in self.editor.words and self.editor.joins(left.group(1), right.group()):
+        sound = lambda w: w in words or self.editor.fix(w, words) is not None
+        for here, after, left, right in self._line_ends(lines, kinds):
+            if left + right in words and self.editor.joins(left, right):
                 joins[here] = after
                 cut_ends.add(here), cut_starts.add(after)
-            elif self.editor.fix(word) or not (self._sound(left.group(1)) and self._sound(right.group())):
+            elif sound(left + right) or not (sound(left) and sound(right)):
                 cut_ends.add(here), cut_starts.add(after)
         found: list[tuple[int, str]] = []
         for i, line in enumerate(lines):
             if kinds[i]:
                 found.append((i + 1, kinds[i]))
+                continue
             if i in joins:
                 found.append((i + 1, "hyphenation"))
             tokens = _TOKEN.findall(line)
@@ -391,29 +494,24 @@ class PageReader:
                 tokens = tokens[:-1]
             if i in cut_starts:
                 tokens = tokens[1:]
-            if any(t.lower() not in self.editor.words and self.editor.fix(t) for t in tokens):
+            if any(t.lower() not in words and self.editor.fix(t, words) for t in tokens):
                 found.append((i + 1, "misread"))
         return found, kinds, joins
 
-    def _sound(self, word: str) -> bool:
-        return word.lower() in self.editor.words or self.editor.fix(word) is not None
-
-    def _mend(self, line: str) -> str:
+    def _mend(self, line: str, words: Collection[str]) -> str:
         def put(m: re.Match) -> str:
             w = m.group()
-            if w.lower() in self.editor.words:
-                return w
-            better = self.editor.fix(w)
+            better = self.editor.fix(w, words)
             if not better:
                 return w
             return better.upper() if w.isupper() and len(w) > 2 else better.capitalize() if w[0].isupper() or (w[0] == "l" and better[0] == "i" and w[1:2].isupper()) else better
 
         return _TOKEN.sub(put, line)
 
-    def repair(self, text: str, first: int | None, last: int | None, heads: list[str]) -> str:
+    def repair(self, text: str, first: int | None, last: int | None, heads: list[str], words: Collection[str]) -> str:
         """The text as continuous paragraphs, without furniture."""
         lines = text.split("\n")
-        _, kinds, joins = self.read(text, first, last, heads)
+        _, kinds, joins = self.read(text, first, last, heads, words)
         width = max((len(x.strip()) for i, x in enumerate(lines) if kinds[i] is None), default=0)
         paragraphs: list[str] = []
         cur, open_join, gap = "", False, False
@@ -439,20 +537,22 @@ class PageReader:
             open_join, gap, previous = i in joins, False, s
         if cur:
             paragraphs.append(cur)
-        return "\n\n".join(self._mend(p) for p in paragraphs)
+        return "\n\n".join(self._mend(p, words) for p in paragraphs)
+
+
+def _words(lexicon: DataFrame) -> DataFrame:
+    return lexicon.where("word IS NOT NULL").select(F.lower("word").alias("word")).distinct()
 
 
 @lru_cache(maxsize=4)
-def page_reader(lexicon: tuple[str, ...]) -> PageReader:
-    """One reader per worker and lexicon."""
-    return PageReader(lexicon)
+def page_reader(sample: tuple[str, ...]) -> PageReader:
+    """The reader trained on these words."""
+    return PageReader(list(sample))
 
 
-def _lexicon(lexicon: DataFrame) -> tuple[str, ...]:
-    rows = lexicon.where("word IS NOT NULL").select("word").distinct().limit(LEXICON_LIMIT + 1).collect()
-    if len(rows) > LEXICON_LIMIT:
-        raise ValueError(f"the lexicon has more than {LEXICON_LIMIT} words")
-    return tuple(sorted(r["word"].lower() for r in rows))
+def trained(lexicon: DataFrame) -> PageReader:
+    rows = _words(lexicon).orderBy(F.xxhash64("word"), "word").limit(TRAIN_WORDS).collect()
+    return page_reader(tuple(sorted(r["word"] for r in rows)))
 
 
 def _with_heads(chunks: DataFrame, papers: DataFrame, journals: DataFrame) -> DataFrame:
@@ -467,39 +567,64 @@ def _with_heads(chunks: DataFrame, papers: DataFrame, journals: DataFrame) -> Da
     return attach(rows, known, ["paper_stem"], "n", total, "left")
 
 
-_INPUT = ["chunk_key", "page_first", "page_last", "text", "short_title", "authors", "journal", "abbrev"]
+_INPUT = ["page_first", "page_last", "text", "short_title", "authors", "journal", "abbrev"]
+
 
+def _columns(batch: pa.RecordBatch, start: int) -> Iterator[tuple]:
+    """page_first, page_last, text and heads of the rows, from the column at ``start``."""
+    for first, last, text, *head in zip(*(batch.column(start + i).to_pylist() for i in range(len(_INPUT)))):
+        yield text, first, last, heads_of(*head)
 
-def _rows(batch: pa.RecordBatch):
-    return zip(*(batch.column(i).to_pylist() for i in range(len(_INPUT))))
+
+def _read_all(chunks: DataFrame, papers: DataFrame, journals: DataFrame, lexicon: DataFrame, use: Callable[[PageReader, list, list[tuple], list[Collection[str]]], list[pa.Array]], schema: str, names: list[str]) -> DataFrame:
+    """``use(reader, keys, rows, words)`` over all chunks with text; ``words`` as far as each row may need them."""
+    reader = trained(lexicon)
+    rows = _with_heads(chunks, papers, journals)
+    shipped = [r["word"] for r in _words(lexicon).limit(SHIPPED_WORDS + 1).collect()]
+    if len(shipped) <= SHIPPED_WORDS:
+        every = frozenset(shipped)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays(use(reader, batch.column(0).to_pylist(), list(_columns(batch, 1)), [every] * batch.num_rows), names=names)
+
+        return rows.select("chunk_key", *_INPUT).mapInArrow(run, schema)
+
+    numbered = cut(rows.select(F.monotonically_increasing_id().alias("row"), "chunk_key", *_INPUT))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, x in zip(batch.column(0).to_pylist(), _columns(batch, 1)):
+                asked = sorted(reader.needed(*x))
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(asked), pa.int64()), pa.array(asked, pa.string())], names=["row", "word"])
+
+    asked = numbered.select("row", *_INPUT).mapInArrow(ask, "row bigint, word string")
+    known = asked.join(_words(lexicon), "word").groupBy("row").agg(F.collect_list("word").alias("words"))
+
+    def run_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [frozenset(w or ()) for w in batch.column(len(_INPUT) + 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(use(reader, batch.column(0).to_pylist(), list(_columns(batch, 1)), words), names=names)
+
+    return numbered.join(known, "row", "left").select("chunk_key", *_INPUT, "words").mapInArrow(run_with, schema)
 
 
 def line_defects(chunks: DataFrame, papers: DataFrame, journals: DataFrame, lexicon: DataFrame) -> DataFrame:
     """chunk_key, line_no (from 1), defect: one row for each defect of a line."""
-    words = _lexicon(lexicon)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = page_reader(words)
-        for batch in batches:
-            keys, numbers, defects = [], [], []
-            for key, first, last, text, *head in _rows(batch):
-                for no, defect in reader.read(text, first, last, heads_of(*head))[0]:
-                    keys.append(key), numbers.append(no), defects.append(defect)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(defects, pa.string())], names=["chunk_key", "line_no", "defect"])
+    def use(reader: PageReader, keys: list, rows: list[tuple], words: list[Collection[str]]) -> list[pa.Array]:
+        found = [(key, *x) for key, row, known in zip(keys, rows, words) for x in reader.read(*row, known)[0]]
+        return [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.string()))]
 
-    return _with_heads(chunks, papers, journals).select(_INPUT).mapInArrow(run, "chunk_key bigint, line_no int, defect string")
+    return _read_all(chunks, papers, journals, lexicon, use, "chunk_key bigint, line_no int, defect string", ["chunk_key", "line_no", "defect"])
 
 
 def repaired(chunks: DataFrame, papers: DataFrame, journals: DataFrame, lexicon: DataFrame) -> DataFrame:
     """chunk_key, repaired_text of every chunk; null and blank texts stay as they are."""
-    words = _lexicon(lexicon)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = page_reader(words)
-        for batch in batches:
-            texts = [reader.repair(text, first, last, heads_of(*head)) for _, first, last, text, *head in _rows(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["chunk_key", "repaired_text"])
+    def use(reader: PageReader, keys: list, rows: list[tuple], words: list[Collection[str]]) -> list[pa.Array]:
+        return [pa.array(keys, pa.int64()), pa.array([reader.repair(*row, known) for row, known in zip(rows, words)], pa.string())]
 
-    full = _with_heads(chunks, papers, journals).select(_INPUT).mapInArrow(run, "chunk_key bigint, repaired_text string")
+    full = _read_all(chunks, papers, journals, lexicon, use, "chunk_key bigint, repaired_text string", ["chunk_key", "repaired_text"])
     rest = chunks.where(F.col("text").isNull() | ~F.col("text").rlike(r"(?U)\S")).select("chunk_key", F.col("text").alias("repaired_text"))
     return full.unionByName(rest)
