@@ -187,3 +187,14 @@ def test_hot_keys_join_alike(spark):
         got = attach(big, small, ["k"], "n", 6001, how).orderBy("id").collect()
         want = big.join(small.drop("n"), "k", how).select("id", "k", "top").orderBy("id").collect()
         assert got == want
+
+
+def test_spread_salts_hot_keys(spark):
+    from quillstone.operators.skew import spread
+
+    big = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    other = spark.createDataFrame([(7, "a"), (7, "b"), (8, "c"), (None, "d")], "k long, w string")
+    counts = big.groupBy("k").agg(F.count("*").alias("n"))
+    got = spread(big, other, ["k"], counts, 6000)
+    assert got.columns == ["k", "v", "w"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, big.join(other, "k").collect()))
+    assert spread(big, other.limit(0), ["k"], counts, 6000).count() == 0
