@@ -1,24 +1,30 @@
 """Records that differ only in formatting: dictionary-encoded columns, grouped as integer tuples.
 
-1. The distinct values of the chosen columns are counted (one shuffle of distinct values per task).
-2. Each distinct value is canonicalised once: lower case, letters and digits only; a point or comma
-   between two digits belongs to the number and stays.
-3. Each distinct canonical form gets an integer; the dictionary is a persisted table.
-4. Records are rewritten as the sorted tuple of their integers (sorting makes the column order of no
-   account) and grouped on that compact tuple.
-
-A value may stand in a third of all rows (an event type does), and a third of all rows may be one record:
-rows meet the dictionary and their group's row through ``attach``, which broadcasts only the keys that
-hold over 1/2000 of all rows and so number under 2000.
+1. The chosen columns are dictionary-encoded batch by batch, and each distinct value of a batch is
+   canonicalised once: lower case, letters and digits only; a point or comma between two digits belongs to
+   the number and stays.
+2. Each canonical form has an integer identifier: its 128-bit fingerprint, so that every task gives a form
+   the same integer and neither the dictionary nor the records have to be shuffled to meet.
+3. A record becomes the tuple of its identifiers, sorted, so that the column order is of no account.
+4. The compact tuples (16 bytes for each column) are grouped.
+
+Only a key and one tuple per record are shuffled. A third of all rows may be one record: the rows of a group
+meet the group's first key through ``attach``, which broadcasts only the groups that hold over 1/2000 of all
+rows and so number under 2000.
 
 Edge cases: a record with a value that is null or has no letter or digit is no case and forms no group;
-exact copies and repeated rows count as copies; the smallest key stands for its group; an empty table
-gives an empty result; other columns are ignored.
+exact copies and repeated rows count as copies; the smallest key stands for its group (a repeated smallest key
+stands once); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators.skew import attach
@@ -26,37 +32,36 @@ from quillstone.session import cut
 
 COLUMNS = ("chemical", "event_type", "description")
 
+_PLAIN = re.compile(r"[^\W_]+")
+_INNER = re.compile(r"(?<=\d)[.,](?=\d)|[^\W_]+")
+
 
-def canonical(c: Column) -> Column:
+def canonical(value: str) -> str:
     """Lower case, letters and digits; points and commas stay between two digits."""
-    # signs inside numbers are marked by private characters, the rest is removed, the marks are undone
-    clean = F.translate(F.lower(c), "", "")
-    marked = F.regexp_replace(clean, r"(?<=\p{Nd})\.(?=\p{Nd})", "")
-    marked = F.regexp_replace(marked, r"(?<=\p{Nd}),(?=\p{Nd})", "")
-    bare = F.regexp_replace(marked, r"[^\p{L}\p{N}\x{E000}\x{E001}]", "")
-    return F.translate(bare, "", ".,")
+    low = value.lower()
+    return "".join((_INNER if "." in low or "," in low else _PLAIN).findall(low))
 
 
-def dictionary(values: DataFrame) -> DataFrame:
-    """value, n, code from (value, n): equal canonical forms share a code; forms without a letter or digit have none."""
-    forms = values.withColumn("form", canonical(F.col("value"))).where("form <> ''")
-    coded = cut(forms.select("form").distinct().withColumn("code", F.monotonically_increasing_id()))
-    return cut(forms.join(coded, "form").select("value", "n", "code"))
+def identifiers(values: list[str | None]) -> list[bytes | None]:
+    """The integer of each value's canonical form, as 16 bytes; none for null and for forms without letter or digit."""
+    return [xxhash.xxh3_128_digest(form) if value is not None and (form := canonical(value)) else None for value in values]
 
 
-def _handle(value: str = "value") -> list[Column]:
-    """96 bits that stand for a value in the join with the dictionary, so that records carry no texts there."""
-    return [F.xxhash64(value).alias("h1"), F.hash(value).alias("h2")]
+def encode(records: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """key, codes: the sorted identifiers of each record all of whose values have one; one pass, no shuffle."""
+    kind = records.schema[key].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = []
+            for i in range(1, len(columns) + 1):
+                coded = batch.column(i).dictionary_encode()
+                known = identifiers(coded.dictionary.to_pylist())
+                cells.append([None if j is None else known[j] for j in coded.indices.to_pylist()])
+            tuples = [None if None in x else b"".join(sorted(x)) for x in zip(*cells)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tuples, pa.binary())], names=["key", "codes"])
 
-def encode(records: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
-    """key, codes: the sorted codes of each record all of whose values have one."""
-    cells = records.select(F.col(key).alias("key"), F.explode(F.array(*columns)).alias("value")).where("value IS NOT NULL")
-    counted = cut(cells.groupBy("value").agg(F.count("*").alias("n")))
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    known = dictionary(counted).select(*_handle(), "n", "code")
-    coded = attach(cells.select("key", *_handle()), known, ["h1", "h2"], "n", total).select("key", "code")
-    return coded.groupBy("key").agg(F.sort_array(F.collect_list("code")).alias("codes")).where(F.size("codes") == len(columns))
+    return records.select(F.col(key).alias("key"), *columns).mapInArrow(run, f"key {kind}, codes binary").where("codes IS NOT NULL")
 
 
 def grouped(records: DataFrame, key: str = "event_key", columns: tuple[str, ...] = COLUMNS) -> tuple[DataFrame, DataFrame]:
@@ -75,6 +80,5 @@ def collapsed(records: DataFrame, key: str = "event_key", columns: tuple[str, ..
 def copies(records: DataFrame, key: str = "event_key", columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """kept_key, copy_key: one row for each record that is not the first of its group."""
     rows, groups = grouped(records, key, columns)
-    several = groups.where("n > 1")
-    total = rows.count()
-    return attach(rows, several, ["codes"], "n", total).where("key <> kept_key").select("kept_key", F.col("key").alias("copy_key"))
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return attach(rows, groups.where("n > 1"), ["codes"], "n", total).where("key <> kept_key").select("kept_key", F.col("key").alias("copy_key"))
