@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +13,12 @@ from quillstone.functions import fuzzy
 from quillstone.functions.columns import once
 from quillstone.functions.events import name_set, parse_events, prf
 from quillstone.functions.text import norm
+from quillstone.operators.skew import spread
 from quillstone.session import cut
 
+#: Gives the vector (array<double>) of a text as a column function.
+Embedder = Callable[[Column], Column]
+
 MIN_CHEMICAL = 0.4
 SIM_THRESHOLD = 0.65
 DEDUP_THRESHOLD = 0.85
@@ -55,50 +61,72 @@ def semantic_dedup(events: DataFrame, group: list[str], order: str, embedding: s
         import numpy as np
 
         rows = pdf.sort_values(order, kind="stable")
+        every = np.stack([np.asarray(v, dtype=float) for v in rows[embedding]])
+        length = np.sqrt((every * every).sum(axis=1, keepdims=True))
+        every = np.divide(every, length, out=np.zeros_like(every), where=length > 0)
         kept: list[int] = []
-        vectors = np.zeros((0, 0))
-        for i, v in enumerate(rows[embedding]):
-            x = np.asarray(v, dtype=float)
-            n = float(np.sqrt((x * x).sum()))
-            x = x / n if n else x
-            if not len(kept) or not (vectors @ x >= threshold).any():
+        vectors = np.empty_like(every)
+        for i, x in enumerate(every):
+            if not (vectors[: len(kept)] @ x >= threshold).any():
+                vectors[len(kept)] = x
                 kept.append(i)
-                vectors = np.vstack([vectors, x]) if len(kept) > 1 else x[None, :]
         return rows.iloc[kept]
 
     return events.groupBy(*group).applyInPandas(scan, out)
 
 
-def _greedy(candidates: Column) -> Column:
-    """One-to-one pairs out of candidates sorted by preference: each is taken if both events are still free."""
-    start = F.filter(candidates, lambda c: F.lit(False))
-    taken = lambda acc, c: F.exists(acc, lambda x: (x["p"] == c["p"]) | (x["g"] == c["g"]))
-    return F.aggregate(candidates, start, lambda acc, c: F.when(taken(acc, c), acc).otherwise(F.concat(acc, F.array(c))))
-
+def one_to_one(candidates: DataFrame, key: str, by: list[Column]) -> DataFrame:
+    """The pairs (key, p, g) that are chosen by going through the candidates of a key in the order ``by``, p, g and
+    taking each whose p and g are both still free.
 
-def match_events(gold: DataFrame, pred: DataFrame, key: str, description_sim=None, threshold: float = SIM_THRESHOLD) -> DataFrame:
+    A candidate that comes first for its p and for its g is chosen in any case; so each round takes all
+    of these at once, and drops what they rule out. No key's candidates ever meet in one task.
+    """
+    rows = cut(candidates.select(key, "p", "g", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(by)], F.col("p").alias("op"), F.col("g").alias("og")).alias("o"), *[c for c in candidates.columns if c not in (key, "p", "g")]))
+    rest = [c for c in rows.columns if c != "o"]
+    chosen = []
+    while True:
+        first_p = rows.groupBy(key, "p").agg(F.min("o").alias("fp"))
+        first_g = rows.groupBy(key, "g").agg(F.min("o").alias("fg"))
+        taken = cut(rows.join(first_p, [key, "p"]).join(first_g, [key, "g"]).where((F.col("o") == F.col("fp")) & (F.col("o") == F.col("fg"))).select(*rest))
+        chosen.append(taken)
+        rows = cut(rows.join(taken.select(key, "p"), [key, "p"], "left_anti").join(taken.select(key, "g"), [key, "g"], "left_anti"))
+        if rows.isEmpty():
+            break
+    out = chosen[0]
+    for more in chosen[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def match_events(gold: DataFrame, pred: DataFrame, key: str, description_sim: Callable[[DataFrame], Column] | None = None, threshold: float = SIM_THRESHOLD) -> DataFrame:
     """key, p, g, how (exact or fuzzy), similarity: one-to-one matches of gold and predicted events.
 
     Both inputs have key, pos, chemical, description. Exact pairs (same normalised description, shared
-    chemical name) are taken first, in prediction order; then the pairs at or above ``threshold`` by falling
-    similarity, ties in prediction, then gold order. Candidates are joined on the key, which is a record or a
-    paper; the greedy choice is a fold over the surviving candidates of one key. ``description_sim(p, g)`` may replace the fuzzy
-    similarity of descriptions, for example by the cosine of embeddings.
+    chemical name) are taken first, in prediction order: they come from an equi-join. Only what is left over is
+    compared, gold with prediction of the same key, and the pairs at or above ``threshold`` are taken by falling
+    similarity, ties in prediction, then gold order. A key may hold a tenth of all events: its predictions are
+    spread over many tasks. ``description_sim(pairs)`` may replace the fuzzy similarity of descriptions, for
+    example by the cosine of embeddings; the columns of either side stand in ``pairs`` as p_ and g_.
     """
-    extra = [c for c in gold.columns if c not in (key, "pos", "chemical", "description")]
-    g = gold.select(key, F.col("pos").alias("g"), F.col("chemical").alias("gc"), F.col("description").alias("gd"), name_set(F.col("chemical")).alias("gn"), *[F.col(c).alias(f"g_{c}") for c in extra])
-    p = pred.select(key, F.col("pos").alias("p"), F.col("chemical").alias("pc"), F.col("description").alias("pd"), name_set(F.col("chemical")).alias("pn"), *[F.col(c).alias(f"p_{c}") for c in extra])
-    pairs = p.join(g, key)
-    shared = F.arrays_overlap("pn", "gn")
-    marked = once(pairs, "same", shared).withColumn("exact", F.col("same") & (norm(F.col("pd")) == norm(F.col("gd"))))
-    gated = once(marked, "chem", F.when(F.col("same"), 1.0).otherwise(fuzzy.fuzzy_score(F.col("pc"), F.col("gc")))).where(F.col("chem") >= MIN_CHEMICAL)
-    desc = fuzzy.fuzzy_score(F.col("pd"), F.col("gd")) if description_sim is None else description_sim(F.col, gated)
-    scored = once(gated, "similarity", F.when(F.col("exact"), 1.0).otherwise(0.4 * F.col("chem") + 0.6 * desc)).where(F.col("exact") | (F.col("similarity") >= threshold))
-    # exact pairs come first, in prediction order; the others by falling similarity
-    order = F.struct((~F.col("exact")).alias("fuzzy"), F.when(F.col("exact"), 0.0).otherwise(-F.col("similarity")).alias("by"), "p", "g")
-    grouped = scored.groupBy(key).agg(F.sort_array(F.collect_list(order)).alias("c"))
-    chosen = grouped.select(key, F.explode(_greedy(F.col("c"))).alias("m"))
-    return chosen.select(key, F.col("m.p").alias("p"), F.col("m.g").alias("g"), F.when(F.col("m.fuzzy"), "fuzzy").otherwise("exact").alias("how"), F.when(F.col("m.fuzzy"), -F.col("m.by")).otherwise(1.0).alias("similarity"))
+    extra = [c for c in gold.columns if c not in (key, "pos", "chemical", "description") and c in pred.columns]
+
+    def side(rows: DataFrame, x: str) -> DataFrame:
+        named = rows.select(key, F.col("pos").alias(x), F.col("chemical").alias(f"{x}c"), F.col("description").alias(f"{x}d"), norm(F.col("description")).alias("said"), *[F.col(c).alias(f"{x}_{c}") for c in extra])
+        return once(named, f"{x}n", name_set(F.col(f"{x}c")))
+
+    g, p = cut(side(gold, "g")), cut(side(pred, "p"))
+    equal = p.join(g, [key, "said"]).where(F.arrays_overlap("pn", "gn")).select(key, "p", "g")
+    exact = one_to_one(equal, key, []).withColumn("how", F.lit("exact")).withColumn("similarity", F.lit(1.0))
+    left_g = cut(g.join(exact.select(key, "g"), [key, "g"], "left_anti").drop("said"))
+    left_p = cut(p.join(exact.select(key, "p"), [key, "p"], "left_anti").drop("said"))
+    counts = cut(left_p.groupBy(key).agg(F.count("*").alias("n")))
+    pairs = spread(left_p, left_g, [key], counts, left_p.count())
+    gated = once(pairs, "chem", F.when(F.arrays_overlap("pn", "gn"), 1.0).otherwise(fuzzy.fuzzy_score(F.col("pc"), F.col("gc")))).where(F.col("chem") >= MIN_CHEMICAL)
+    desc = fuzzy.fuzzy_score(F.col("pd"), F.col("gd")) if description_sim is None else description_sim(gated)
+    near = once(gated, "similarity", 0.4 * F.col("chem") + 0.6 * desc).where(F.col("similarity") >= threshold).select(key, "p", "g", "similarity")
+    close = one_to_one(near, key, [-F.col("similarity")]).withColumn("how", F.lit("fuzzy"))
+    return exact.unionByName(close).select(key, "p", "g", "how", "similarity")
 
 
 def compare_counts(gold: DataFrame, pred: DataFrame, matches: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -116,20 +144,36 @@ def answer_events(preds: DataFrame, key: str, side: str) -> DataFrame:
     return parse_events(preds.select(key, side), side, strict=True).select(key, F.col("line_pos").alias("pos"), "chemical", "event_type", "description")
 
 
-def evaluate_records(preds: DataFrame, key: str = "pair_id") -> DataFrame:
-    """The comparison of every record; repeated predictions of a record count once."""
+def predicted_events(preds: DataFrame, key: str, embed: Embedder | None = None, threshold: float = DEDUP_THRESHOLD) -> DataFrame:
+    """The events of the predictions; with ``embed`` those that say the same as an earlier one of the record, the
+    chemical and the type are left out. ``embed`` gives the vector of a description as a column."""
+    rows = answer_events(preds, key, "pred")
+    if embed is None:
+        return rows
+    named = rows.withColumn("__name", norm(F.col("chemical"))).withColumn("__vector", embed(F.col("description")))
+    return semantic_dedup(named, [key, "__name", "event_type"], "pos", "__vector", threshold).drop("__name", "__vector")
+
+
+def evaluate_records(preds: DataFrame, key: str = "pair_id", embed: Embedder | None = None) -> DataFrame:
+    """The comparison of every record; repeated predictions of a record count once, with ``embed`` also those that
+    only say the same, and descriptions are then compared by the cosine of their vectors."""
     gold = cut(answer_events(preds, key, "gold"))
-    pred = cut(first_events(answer_events(preds, key, "pred"), [key], ["pos"]))
+    pred = cut(first_events(predicted_events(preds, key, embed), [key], ["pos"]))
     cols = [key, "pos", "chemical", "description"]
-    return compare_counts(gold, pred, match_events(gold.select(cols), pred.select(cols), key), preds, key)
+    sim = None if embed is None else lambda pairs: cosine(F.col("p_vector"), F.col("g_vector"))
+    if embed is not None:
+        gold, pred = gold.withColumn("vector", embed(F.col("description"))), pred.withColumn("vector", embed(F.col("description")))
+        cols.append("vector")
+    return compare_counts(gold, pred, match_events(gold.select(cols), pred.select(cols), key, sim), preds, key)
 
 
-def evaluate_groups(preds: DataFrame, groups: DataFrame, key: str = "pair_id", group: str = "paper_stem") -> DataFrame:
+def evaluate_groups(preds: DataFrame, groups: DataFrame, key: str = "pair_id", group: str = "paper_stem", embed: Embedder | None = None) -> DataFrame:
     """The comparison per group: events of a group's records count once; records without a group are left out."""
-    mapped = preds.join(groups.select(key, group), key).where(F.col(group).isNotNull())
+    mapped = cut(preds.join(groups.select(key, group), key).where(F.col(group).isNotNull()))
 
     def events(side: str) -> DataFrame:
-        rows = answer_events(mapped, key, side).join(mapped.select(key, group), key)
+        found = answer_events(mapped, key, side) if side == "gold" else predicted_events(mapped, key, embed)
+        rows = found.join(mapped.select(key, group), key)
         first = first_events(rows, [group], [key, "pos"])
         order = Window.partitionBy(group).orderBy(key, "pos")
         return first.select(group, (F.row_number().over(order) - 1).alias("pos2"), "chemical", "description").withColumnRenamed("pos2", "pos")
@@ -138,6 +182,17 @@ def evaluate_groups(preds: DataFrame, groups: DataFrame, key: str = "pair_id", g
     return compare_counts(gold, pred, match_events(gold, pred, group), mapped, group)
 
 
+def score_summary(scored: DataFrame, group: list[str], score: str = "score", found: str = "chemical_found") -> DataFrame:
+    """group, n, lowest, mean_score, highest and n_found: scores of predictions and how many name their chemical."""
+    return scored.groupBy(*group).agg(F.count("*").alias("n"), F.min(score).alias("lowest"), F.avg(score).alias("mean_score"), F.max(score).alias("highest"), F.count_if(found).alias("n_found"))
+
+
+def best_of_each(rows: DataFrame, group: list[str], order: list[Column], value: str, n: int) -> DataFrame:
+    """group, best: ``value`` of the first ``n`` rows of each group in the order given."""
+    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("__r") <= n)
+    return ranked.groupBy(*group).agg(F.transform(F.sort_array(F.collect_list(F.struct("__r", value))), lambda x: x[value]).alias("best"))
+
+
 def totals(counts: DataFrame) -> DataFrame:
     """One row: summed counts, and micro precision, recall and F1."""
     summed = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_gold", "n_pred", "exact_hits", "fuzzy_hits", "tp", "fp", "fn")])

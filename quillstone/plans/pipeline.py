@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.clean import clean_documents
-from quillstone.functions.divide import ChunkBudget, build_chunks
+from quillstone.functions.divide import ChunkBudget, build_chunks, document_parts
 from quillstone.functions.events import parse_events
 from quillstone.operators import dataset, evaluate, matching
 from quillstone.session import cut, stored
@@ -30,7 +30,7 @@ def score_documents(docs: DataFrame, extractor: Extractor, key: str = "doc_id",
     """Markdown to (matches, flat report): clean, divide, extract, match; the stages in between are written to the shared folder."""
     cleaned = stored(clean_documents(docs.select(key, "text")))
     events = stored(extract_events(build_chunks(cleaned, key, budget=budget), extractor, key))
-    blocks = stored(matching.document_blocks(cleaned, key, budget=budget))
+    blocks = stored(document_parts(cleaned, key, budget=budget))
     matches = stored(matching.annotate(events, blocks, key, short_only=True))
     return matches, matching.best_for_csv(events, matches, key)
 

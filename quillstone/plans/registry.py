@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import clean, divide, events, fuzzy, text
-from quillstone.functions.columns import once
+from quillstone.functions.columns import let, once
 from quillstone.operators import dataset, evaluate, layout, matching, parse_rows, tables
 from quillstone.operators.skew import attach
 from quillstone.plans import pipeline
-from quillstone.session import cut
+from quillstone.session import cut, in_parallel
 from quillstone.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,15 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _rows(spark: SparkSession, d: str, name: str, key: str, *columns: str) -> DataFrame:
+    """The columns of a table for work that is heavy per row and needs no shuffle."""
+    return in_parallel(_table(spark, d, name).select(key, *columns), key)
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return _rows(spark, d, "documents", "doc_id", "text")
+
+
 def query(fn: Query) -> Query:
     _QUERIES[fn.__name__] = fn
     return fn
@@ -52,9 +61,11 @@ def p6_sound(spark, d):
 
 @query
 def sentence_tokens_by_lang(spark, d):
-    docs = _table(spark, d, "documents").where("text IS NOT NULL")
-    rows = docs.select("doc_id", F.coalesce("lang", F.lit("(none)")).alias("lang"), F.explode(divide.sentences(F.col("text"))).alias("s"))
-    return rows.groupBy("lang").agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_sentences"), F.sum(divide.token_count(F.col("s"))).alias("n_tokens"))
+    docs = _rows(spark, d, "documents", "doc_id", "text", "lang").where("text IS NOT NULL")
+    counts = let(divide.sentences(F.col("text")), lambda s: F.struct(F.size(s).alias("n"), F.aggregate(F.transform(s, divide.token_count), F.lit(0), lambda a, x: a + x).alias("t")))
+    # documents are summed where they stand: a row per language is shuffled, none per sentence
+    rows = once(docs.select(F.coalesce("lang", F.lit("(none)")).alias("lang"), "text"), "c", counts).where("c.n > 0")
+    return rows.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("c.n").alias("n_sentences"), F.sum("c.t").alias("n_tokens"))
 
 
 @query
@@ -70,12 +81,12 @@ def csv_quote_lines(spark, d):
 @query
 def text_measures(spark, d):
     c = F.col("text")
-    return _table(spark, d, "documents").select("doc_id", divide.token_count(c).alias("n_tokens"), F.bround(text.alnum_ratio(c), 6).alias("alnum_ratio"), text.preview(c).alias("preview"), text.occurrences(c, F.lit("receptor")).alias("n_hits"))
+    return _docs(spark, d).select("doc_id", divide.token_count(c).alias("n_tokens"), F.bround(text.alnum_ratio(c), 6).alias("alnum_ratio"), text.preview(c).alias("preview"), text.occurrences(c, F.lit("receptor")).alias("n_hits"))
 
 
 @query
 def sentence_split(spark, d):
-    rows = _table(spark, d, "chunks").select("chunk_key", F.posexplode(divide.sentences(F.col("text"))).alias("pos", "sentence"))
+    rows = _rows(spark, d, "chunks", "chunk_key", "text").select("chunk_key", F.posexplode(divide.sentences(F.col("text"))).alias("pos", "sentence"))
     return rows
 
 
@@ -95,7 +106,7 @@ def _noisy(chunks: DataFrame) -> Column:
 
 def _rule(fn) -> Query:
     def run(spark, d):
-        chunks = _table(spark, d, "chunks")
+        chunks = _rows(spark, d, "chunks", "chunk_key", "chunk_id", "text")
         return chunks.select("chunk_key", fn(_noisy(chunks)).alias("cleaned"))
 
     return run
@@ -121,7 +132,7 @@ for _name, _fn in {
 
 @query
 def clean_markdown(spark, d):
-    chunks = _table(spark, d, "chunks")
+    chunks = _rows(spark, d, "chunks", "chunk_key", "chunk_id", "text")
     return clean.clean_documents(chunks.select("chunk_key", _noisy(chunks).alias("cleaned")), "cleaned", "cleaned")
 
 
@@ -157,28 +168,28 @@ def heading_tests(spark, d):
 
 @query
 def text_lines(spark, d):
-    return divide.text_lines(_table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "pos", "line", "heading", "section_no")
+    return divide.text_lines(_docs(spark, d)).select("doc_id", "pos", "line", "heading", "section_no")
 
 
 @query
 def sections(spark, d):
-    return divide.extract_sections(_table(spark, d, "documents").select("doc_id", "text"))
+    return divide.extract_sections(_docs(spark, d))
 
 
 @query
 def chunk_pack(spark, d):
-    return divide.build_chunks(_table(spark, d, "documents").select("doc_id", "text"))
+    return divide.build_chunks(_docs(spark, d))
 
 
 @query
 def chunk_sizes(spark, d):
-    made = divide.build_chunks(_table(spark, d, "documents").select("doc_id", "text"))
+    made = divide.build_chunks(_docs(spark, d))
     return made.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max("token_count").alias("most_tokens"), F.max("section_index").alias("last_section"))
 
 
 @query
 def document_blocks(spark, d):
-    blocks = matching.document_blocks(_table(spark, d, "documents").select("doc_id", "text"))
+    blocks = divide.document_parts(_docs(spark, d))
     return blocks.groupBy("doc_id", "kind").agg(F.count("*").alias("n_blocks"), F.sum(F.length("text")).alias("n_chars"))
 
 

@@ -106,7 +106,16 @@ def test_budget():
     assert divide.ChunkBudget().clamped() == (96, 160, 220)
     assert divide.ChunkBudget(context=1700).clamped() == (96, 104, 104)
     assert divide.ChunkBudget(context=0).clamped() == (32, 32, 32)
-    assert divide.merge_small(["a", "b", "c d e"], lambda t: len(t.split()), 2, 3) == ["a b", "c d e"]
+
+
+def test_injected_counter(spark):
+    words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    budget = divide.ChunkBudget(min_tokens=3, target_tokens=4, max_tokens=5)
+    packed = lambda units: spark.range(1).select(divide.pack_units(F.array(*map(F.lit, units)), budget, words).alias("c")).first().c
+    assert packed(["a b", "c d", "e f g h i", "j"]) == ["a b c d", "e f g h i", "j"]
+    assert packed(["a b c d, e f g, h", "i"]) == ["a b c d,", "e f g, h i"] and packed(["a b c d e f g"]) == ["a b c d e", "f g"]
+    merged = divide._with_successor(F.array(*map(F.lit, ["a", "b", "c d e", "f"])), words, 2, 3)
+    assert spark.range(1).select(merged.alias("c")).first().c == ["a b", "c d e", "f"]
 
 
 def _reference_chunks(title, body, most):
