@@ -76,9 +76,9 @@ class AveragedPerceptron:
         out = dict.fromkeys(labels, 0.0)
         for f in features:
             row = self.w.get(f)
-            if row:
-                for label in out:
-                    out[label] += row.get(label, 0.0)
+            if row:  # a feature names its character, so it has weights for labels of that character only
+                for label, weight in row.items():
+                    out[label] += weight
         return out
 
     def learn(self, examples: list[tuple[list[str], tuple[str, ...], str]], epochs: int, seed: int, margin: float = 1.0) -> None:
@@ -104,7 +104,7 @@ class AveragedPerceptron:
             if not wrong:
                 break
         for f, total in sums.items():
-            self.w[f] = {label: round(w - total[label] / t, 4) for label, w in self.w[f].items()}
+            self.w[f] = {label: x for label, w in self.w[f].items() if (x := round(w - total[label] / t, 4))}
 
 
 def edit_labels(read: str, true: str) -> list[str]:
@@ -214,7 +214,7 @@ class CharacterEditor:
         self._cache[w] = got
         return got
 
-    def fix(self, word: str, words: Collection[str]) -> str | None:
+    def fix(self, word: str, words: frozenset[str]) -> str | None:
         """The best proposal that is in ``words``; none if the word is itself."""
         if word.lower() in words:
             return None
@@ -264,15 +264,17 @@ def distance_within(a: str, b: str, limit: int) -> bool:
         return False
     if a == b:
         return True
-    prev = list(range(len(b) + 1))
+    # only cells near the diagonal can hold a distance within the limit
+    far = limit + 1
+    prev = {j: j for j in range(min(len(b), limit) + 1)}
     for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y)))
-        if min(row) > limit:
+        row = {0: i} if i <= limit else {}
+        for j in range(max(1, i - limit), min(len(b), i + limit) + 1):
+            row[j] = min(prev.get(j, far) + 1, row.get(j - 1, far) + 1, prev.get(j - 1, far) + (x != b[j - 1]))
+        if min(row.values(), default=far) > limit:
             return False
         prev = row
-    return prev[-1] <= limit
+    return prev.get(len(b), far) <= limit
 
 
 def _bare(text: str) -> str:
@@ -329,6 +331,16 @@ def _near(shown: list[tuple[float, str]]) -> list[str]:
     return [h for share, h in shown if share * len(_pairs(h)) >= len(_pairs(h)) - 2 * _slack(h) - 1e-9]
 
 
+def _core(tokens: list[str]) -> int:
+    """Length of the words of a line from the first to the last that may not stand beside a head."""
+    lo, hi = 0, len(tokens)
+    while lo < hi and _beside(tokens[lo]):
+        lo += 1
+    while lo < hi and _beside(tokens[hi - 1]):
+        hi -= 1
+    return sum(map(len, tokens[lo:hi])) + max(hi - lo - 1, 0)
+
+
 def running_head_of(line: str, heads: list[str]) -> str | None:
     """The head that a line shows, with at most volume, year and page number besides."""
     near = _near(_shown(line, heads))
@@ -433,14 +445,15 @@ class PageReader:
     def __init__(self, sample: list[str]):
         self.editor, self.pages = CharacterEditor(sample), LineModel(sample)
 
-    def furniture(self, lines: list[str], first: int | None, last: int | None, heads: list[str]) -> list[str | None]:
+    def furniture(self, lines: list[str], tokens: list[list[str]], first: int | None, last: int | None, heads: list[str]) -> list[str | None]:
         """page_number, running_header or none for each line: what the model proposes, if the line is one by definition."""
         out: list[str | None] = []
+        longest = max((len(h) + _slack(h) for h in heads), default=-1)
         for i, line in enumerate(lines):
-            kind = None
-            shown = _shown(line, heads)
-            # a line of many words that shows no head cannot be furniture, so the model need not be asked
-            if line.strip() and (_near(shown) or sum(1 for _ in islice(_TOKEN.finditer(line), 6)) < 6):
+            kind, shown = None, None
+            few = len(tokens[i]) < 6
+            # a line of many words that cannot show a head is no furniture, so the model need not be asked
+            if tokens[i] and (few or (_core(tokens[i]) <= longest and _near(shown := _shown(line, heads)))):
                 for x in self.pages.proposes(lines, i, first, last, heads, shown):
                     if page_number_of(line, first, last) is not None if x == LineModel.NUMBER else running_head_of(line, heads):
                         kind = x
@@ -462,16 +475,18 @@ class PageReader:
     def needed(self, text: str, first: int | None, last: int | None, heads: list[str]) -> set[str]:
         """Every word whose presence in the lexicon ``read`` and ``repair`` may ask for."""
         lines = text.split("\n")
-        asked = {x.lower() for x in _TOKEN.findall(text)}
-        for _, _, left, right in self._line_ends(lines, self.furniture(lines, first, last, heads)):
+        tokens = [_TOKEN.findall(x) for x in lines]
+        asked = {x.lower() for line in tokens for x in line}
+        for _, _, left, right in self._line_ends(lines, self.furniture(lines, tokens, first, last, heads)):
             asked |= {left, right, left + right}
         # repair mends joined words, and words whose neighbours were joined to them
         return asked | {y for x in list(asked) for y, _ in self.editor.proposals(x)}
 
-    def read(self, text: str, first: int | None, last: int | None, heads: list[str], words: Collection[str]) -> tuple[list[tuple[int, str]], list[str | None], dict[int, int]]:
+    def read(self, text: str, first: int | None, last: int | None, heads: list[str], words: frozenset[str]) -> tuple[list[tuple[int, str]], list[str | None], dict[int, int]]:
         """(line, defect) pairs, furniture by line, and joins: line index -> index of the line it goes on in."""
         lines = text.split("\n")
-        kinds = self.furniture(lines, first, last, heads)
+        tokens = [_TOKEN.findall(x) for x in lines]
+        kinds = self.furniture(lines, tokens, first, last, heads)
         joins: dict[int, int] = {}
         cut_ends: set[int] = set()  # lines whose last word is a fragment
         cut_starts: set[int] = set()  # lines whose first word is one
@@ -483,22 +498,18 @@ class PageReader:
             elif sound(left + right) or not (sound(left) and sound(right)):
                 cut_ends.add(here), cut_starts.add(after)
         found: list[tuple[int, str]] = []
-        for i, line in enumerate(lines):
+        for i in range(len(lines)):
             if kinds[i]:
                 found.append((i + 1, kinds[i]))
                 continue
             if i in joins:
                 found.append((i + 1, "hyphenation"))
-            tokens = _TOKEN.findall(line)
-            if i in cut_ends:
-                tokens = tokens[:-1]
-            if i in cut_starts:
-                tokens = tokens[1:]
-            if any(t.lower() not in words and self.editor.fix(t, words) for t in tokens):
+            whole = tokens[i][1 if i in cut_starts else 0 : -1 if i in cut_ends else None]
+            if any(self.editor.fix(t, words) for t in {x.lower() for x in whole} - words):
                 found.append((i + 1, "misread"))
         return found, kinds, joins
 
-    def _mend(self, line: str, words: Collection[str]) -> str:
+    def _mend(self, line: str, words: frozenset[str]) -> str:
         def put(m: re.Match) -> str:
             w = m.group()
             better = self.editor.fix(w, words)
@@ -508,7 +519,7 @@ class PageReader:
 
         return _TOKEN.sub(put, line)
 
-    def repair(self, text: str, first: int | None, last: int | None, heads: list[str], words: Collection[str]) -> str:
+    def repair(self, text: str, first: int | None, last: int | None, heads: list[str], words: frozenset[str]) -> str:
         """The text as continuous paragraphs, without furniture."""
         lines = text.split("\n")
         _, kinds, joins = self.read(text, first, last, heads, words)
@@ -576,7 +587,7 @@ def _columns(batch: pa.RecordBatch, start: int) -> Iterator[tuple]:
         yield text, first, last, heads_of(*head)
 
 
-def _read_all(chunks: DataFrame, papers: DataFrame, journals: DataFrame, lexicon: DataFrame, use: Callable[[PageReader, list, list[tuple], list[Collection[str]]], list[pa.Array]], schema: str, names: list[str]) -> DataFrame:
+def _read_all(chunks: DataFrame, papers: DataFrame, journals: DataFrame, lexicon: DataFrame, use: Callable[[PageReader, list, list[tuple], list[frozenset[str]]], list[pa.Array]], schema: str, names: list[str]) -> DataFrame:
     """``use(reader, keys, rows, words)`` over all chunks with text; ``words`` as far as each row may need them."""
     reader = trained(lexicon)
     rows = _with_heads(chunks, papers, journals)
@@ -612,7 +623,7 @@ def _read_all(chunks: DataFrame, papers: DataFrame, journals: DataFrame, lexicon
 def line_defects(chunks: DataFrame, papers: DataFrame, journals: DataFrame, lexicon: DataFrame) -> DataFrame:
     """chunk_key, line_no (from 1), defect: one row for each defect of a line."""
 
-    def use(reader: PageReader, keys: list, rows: list[tuple], words: list[Collection[str]]) -> list[pa.Array]:
+    def use(reader: PageReader, keys: list, rows: list[tuple], words: list[frozenset[str]]) -> list[pa.Array]:
         found = [(key, *x) for key, row, known in zip(keys, rows, words) for x in reader.read(*row, known)[0]]
         return [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.string()))]
 
@@ -622,7 +633,7 @@ def line_defects(chunks: DataFrame, papers: DataFrame, journals: DataFrame, lexi
 def repaired(chunks: DataFrame, papers: DataFrame, journals: DataFrame, lexicon: DataFrame) -> DataFrame:
     """chunk_key, repaired_text of every chunk; null and blank texts stay as they are."""
 
-    def use(reader: PageReader, keys: list, rows: list[tuple], words: list[Collection[str]]) -> list[pa.Array]:
+    def use(reader: PageReader, keys: list, rows: list[tuple], words: list[frozenset[str]]) -> list[pa.Array]:
         return [pa.array(keys, pa.int64()), pa.array([reader.repair(*row, known) for row, known in zip(rows, words)], pa.string())]
 
     full = _read_all(chunks, papers, journals, lexicon, use, "chunk_key bigint, repaired_text string", ["chunk_key", "repaired_text"])

@@ -69,6 +69,7 @@ def test_variants_with_a_hot_record(spark):
 # ---------------------------------------------------------------- 3
 
 LEXICON = "the receptor response of liver cells was increased in mice and binding fell after hours down regulation influence".split()
+KNOWN = frozenset(LEXICON)
 
 
 @pytest.fixture(scope="module")
@@ -79,9 +80,9 @@ def reader():
 def test_line_defects(reader):
     text = "The recept0r res-\n- l2 -\nRecept0r binding in rnice | 12\nponse fell after\ndown-\nregulation of the liver.\n47\n13\nx = 1.2"
     heads = scanned.heads_of("Receptor binding in mice", ["Doe", "Roe"], "Annals of Cells", "Ann. Cell.")
-    found, _, _ = reader.read(text, 12, 13, heads, LEXICON)
+    found, _, _ = reader.read(text, 12, 13, heads, KNOWN)
     assert set(found) == {(1, "misread"), (1, "hyphenation"), (2, "page_number"), (3, "running_header"), (8, "page_number")}
-    assert reader.repair(text, 12, 13, heads, LEXICON).startswith("The receptor response fell after down- regulation of the liver.")
+    assert reader.repair(text, 12, 13, heads, KNOWN).startswith("The receptor response fell after down- regulation of the liver.")
 
 
 def test_furniture_forms():
@@ -97,7 +98,7 @@ def test_furniture_forms():
 
 def test_editor_generates_the_edits(reader):
     for wrong, right in (("rcceptor", "receptor"), ("1iver", "liver"), ("bindmg", "binding"), ("cell5", "cells"), ("iipon", None), ("zinc", None), ("liver", None)):
-        assert reader.editor.fix(wrong, LEXICON) == right, wrong
+        assert reader.editor.fix(wrong, KNOWN) == right, wrong
 
 
 def test_look_alikes_count_both_ways():
@@ -105,27 +106,27 @@ def test_look_alikes_count_both_ways():
     editor = scanned.CharacterEditor(words)
     for wrong, right in (("musde", "muscle"), ("eell", "cell"), ("tall", "fall"), ("af", "of"), ("hody", "body"), ("8ody", "body"), ("6ene", "gene"), ("liguid", "liquid"), ("l1quid", "liquid")):
         assert editor.fix(wrong, words) == right, wrong
-    found = scanned.page_reader(tuple(words)).read("the musde of\nthe cell", None, None, [], words)[0]
+    found = scanned.page_reader(tuple(words)).read("the musde of\nthe cell", None, None, [], frozenset(words))[0]
     assert found == [(1, "misread")]
 
 
 def test_without_the_models_nothing_is_found():
     bare = scanned.PageReader(list(LEXICON))
     bare.editor.model.w.clear(), bare.pages.model.w.clear()
-    assert bare.read("The recept0r res-\nponse\n12\nZinc in mice", 12, 13, ["zinc in mice"], LEXICON)[0] == []
+    assert bare.read("The recept0r res-\nponse\n12\nZinc in mice", 12, 13, ["zinc in mice"], KNOWN)[0] == []
 
 
 def test_long_furniture_and_long_words(reader):
     head = "effects of " + " ".join(f"compound {chr(97 + i % 26)}" for i in range(40)) + " on mice"
     heads = scanned.heads_of(head, None, None, None)
     for line in (head.upper(), f"{head}    {'-' * 80} 13", f"vol. 3, 1999 {head} 12"):
-        assert reader.read(f"of liver cells\n{line}\nfell after hours", 12, 13, heads, LEXICON)[0] == [(2, "running_header")], line
-    assert reader.read(f"of liver cells\n{'=' * 300} page 12 of 400 {'=' * 300}\nfell", 12, 13, heads, LEXICON)[0] == [(2, "page_number")]
+        assert reader.read(f"of liver cells\n{line}\nfell after hours", 12, 13, heads, KNOWN)[0] == [(2, "running_header")], line
+    assert reader.read(f"of liver cells\n{'=' * 300} page 12 of 400 {'=' * 300}\nfell", 12, 13, heads, KNOWN)[0] == [(2, "page_number")]
     assert scanned.page_number_of("9" * 5000, 1, 10**9) is None and scanned.page_number_of("0" * 5000 + "7", 1, 9) == 7
     long_word = "electroencephalograph" * 5
     editor = scanned.CharacterEditor([*LEXICON, long_word])
     assert editor.fix(long_word.replace("g", "q", 1), [*LEXICON, long_word]) == long_word
-    assert editor.fix("x1" * 20_000, LEXICON) is None
+    assert editor.fix("x1" * 20_000, KNOWN) is None
 
 
 def test_a_large_lexicon_stays_distributed(spark, monkeypatch):
