@@ -274,6 +274,39 @@ def test_defects():
     assert answers.defect_of(row, None) is None
 
 
+def test_defects_beyond_the_known_phrases():
+    prompt = "Do this.\nText:\nLiver injury was seen in mice at 2 uM. The dose caused death of rats. No change came after the days."
+    row = '"zinc","KE","{}"\n### END'
+    cases = {
+        "Nothing to report.": "empty", "No AOP events are described in this text.": "empty", "No change of the liver was found": "truncated",
+        "Mi dispiace, non posso aiutare.": "refusal", "Desculpe, não posso fornecer isso.": "refusal", "Sorry, I can't.": "refusal", "抱歉，无法回答": "refusal", "Sorry state of mice was seen in text": "truncated",
+        row.format("повреждение печени у мышей"): "language", row.format("小鼠肝损伤"): "language", row.format("skada på levern hos möss efter tre dagar"): "language", row.format("β-catenin of liver in mice"): None,
+    }
+    for answer, wanted in cases.items():
+        assert answers.defect_of(answer, prompt) == wanted, answer
+
+
+def test_terminal_contexts_of_held_out_answers():
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij ") for _ in range(rnd.randint(3, 30))).strip() or "x"
+    rows = [f'"{word()}","{rnd.choice(["MIE", "KE", "AO"])}","{word()}"' for _ in range(600)]
+    model = answers.TerminalModel([f"{r}\n### END" for r in rows[:300]])
+    wrong = 0
+    for r in rows[300:]:
+        part = r[: rnd.randint(1, len(r) - 1)]
+        wrong += model.cut(r) + (not model.cut(part))
+    assert wrong <= 6
+    model.model.w.clear()
+    assert not any(answers.is_truncated(r[:-3], model) for r in rows)
+
+
+def test_copies_are_proposed_by_the_compressor(monkeypatch):
+    prompt = "Do this.\nText:\nLiver injury was seen in mice at 2 uM. The dose caused death of rats."
+    assert answers.defect_of(prompt, prompt) == "copy"
+    monkeypatch.setattr(answers, "COPY_SHARE", -1.0)
+    assert answers.defect_of(prompt, prompt) != "copy"
+
+
 def test_defective_answers(spark):
     df = spark.createDataFrame([(1, None, "### END", None), (2, "Text:\nx", "null", '"a","KE","b"')], "pair_id long, prompt string, gold string, pred string").withColumn("side", F.lit("x"))
     assert {tuple(r) for r in answers.defective_answers(df).collect()} == {(1, "pred", "empty"), (2, "gold", "empty")}
