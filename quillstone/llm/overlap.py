@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,20 +67,28 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def run_sets(texts: list[str], k: int = SHINGLE) -> list[np.ndarray]:
-    """For each text the sorted distinct 64-bit hashes of its runs of ``k`` words; empty under ``k`` words."""
-    out = []
-    for text in texts:
-        words = np.array([_WORDS[w] for w in _WORD.findall(text.lower())], dtype=np.uint64)
-        n = len(words) - k + 1
-        if n < 1:
-            out.append(np.empty(0, dtype=np.uint64))
-            continue
-        h = np.zeros(n, dtype=np.uint64)
-        for j in range(k):
-            h = _mixed(h * _MIX + words[j : j + n])
-        out.append(np.unique(h))
-    return out
+def run_sets(texts: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct 64-bit hashes of the runs of ``k`` words, text after text, and where each text's begin
+    (and the last one's end); a text under ``k`` words has none."""
+    words = [_WORD.findall(t.lower()) for t in texts]
+    flat = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(words)), dtype=np.uint64)
+    owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, words), dtype=np.int64, count=len(texts)))
+    n = max(len(flat) - k + 1, 0)
+    h = np.zeros(n, dtype=np.uint64)
+    for j in range(k):
+        h = _mixed(h * _MIX + flat[j : j + n])
+    inside = owner[:n] == owner[len(owner) - n :]  # a run over the seam of two texts is none
+    h, owner = h[inside], owner[:n][inside]
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    first = np.ones(len(h), dtype=bool)
+    first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[first], np.searchsorted(owner[first], np.arange(len(texts) + 1))
+
+
+def _fingerprints(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    data = values.tobytes()
+    return [xxhash.xxh3_128_digest(data[8 * a : 8 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
 def _constants(seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,16 +124,15 @@ def _signed(records: DataFrame) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
-                sets = run_sets([t or "" for t in batch.column(3).to_pylist()])
-                kept = [i for i, x in enumerate(sets) if len(x)]
-                sets = [sets[i] for i in kept]
-                if not sets:
+                values, offsets = run_sets([t or "" for t in batch.column(3).to_pylist()])
+                kept = np.flatnonzero(np.diff(offsets))
+                if not len(kept):
                     continue
-                offsets = np.cumsum([0, *map(len, sets)])
-                keys = band_keys(np.concatenate(sets), offsets)
-                prints = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(kept, pa.int64())) for c in range(3)), prints, lists], names=["record_id", "split", "source", "print", "keys"])
+                offsets = np.append(offsets[kept], len(values))
+                keys = band_keys(values, offsets)
+                prints = pa.array(_fingerprints(values, offsets), pa.binary())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(kept) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(kept)) for c in range(3)), prints, lists], names=["record_id", "split", "source", "print", "keys"])
 
     return said.mapInArrow(run, "record_id bigint, split string, source string, print binary, keys array<bigint>")
 
@@ -154,10 +162,10 @@ def _sets_of(records: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = run_sets([t or "" for t in batch.column(2).to_pylist()])
+            values, offsets = run_sets([t or "" for t in batch.column(2).to_pylist()])
             # the fingerprint tells the record from another of the same id
-            right = [i for i, (x, p) in enumerate(zip(sets, batch.column(1).to_pylist())) if xxhash.xxh3_128_digest(x.tobytes()) == p]
-            runs = pa.array([sets[i].view(np.int64) for i in right], pa.list_(pa.int64()))
+            right = [i for i, (x, p) in enumerate(zip(_fingerprints(values, offsets), batch.column(1).to_pylist())) if x == p]
+            runs = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64))).take(pa.array(right, pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(right, pa.int64())), runs], names=["cls", "runs"])
 
     return wanted.mapInArrow(run, "cls bigint, runs array<bigint>")
