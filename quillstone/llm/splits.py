@@ -4,7 +4,9 @@ Papers are linked by keys (an author id, a study id, a file name). Each key link
 smallest of them, which gives one link per paper and key and no pairs. Labels start at each paper's own
 stem (or, in a later run, at the root kept in the component table); each round every root takes the
 smallest root it is linked to, then pointers are jumped until they point at roots. Rounds end when nothing
-changes; their number grows with the logarithm of the longest chain. Each round is cut by a checkpoint.
+changes; their number grows with the logarithm of the longest chain. Each round is cut by a checkpoint. Hubs of
+keys and roots of components may stand in a third of all rows: hubs and final roots meet their rows through ``attach``;
+inside a round, where counting roots first would double the jobs, the adaptive skew join splits a large root.
 
 The component table (paper_stem, root, split) is kept between runs. Components that have a split keep it;
 new ones fill the deficits; a merge of components with different splits is a conflict: its papers keep
@@ -116,8 +118,10 @@ def paper_components(records: DataFrame, papers: DataFrame, split_info: DataFram
 def grouped_records(records: DataFrame, papers: DataFrame, split_info: DataFrame) -> DataFrame:
     """record_id, group_stem: records of papers that belong together with at least one other paper."""
     owned, labels = paper_components(records, papers, split_info)
-    several = labels.groupBy("root").agg(F.count("*").alias("k")).where("k > 1").select("root")
-    grouped = labels.join(several, "root", "left_semi")
+    # a component may hold a third of all papers
+    several = cut(labels.groupBy("root").agg(F.count("*").alias("k")).where("k > 1"))
+    total = several.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    grouped = attach(labels, several, ["root"], "k", total)
     sizes = owned.groupBy(F.col("paper_stem").alias("node")).agg(F.count("*").alias("n"))
     known = cut(grouped.join(sizes, "node").select(F.col("node").alias("paper_stem"), F.col("root").alias("group_stem"), "n"))
     return attach(owned, known, ["paper_stem"], "n", owned.count()).select("record_id", "group_stem")
@@ -171,8 +175,9 @@ def assign_splits(records: DataFrame, papers: DataFrame, split_info: DataFrame,
     chosen = cut(_choose(cut(fresh), have, shares, seed))
     named = roots.withColumn("group", F.concat(F.lit("paper:"), F.col("root"))).join(chosen, "group", "left")
     settled = named.select("root", (F.col("lo") != F.col("hi")).alias("conflict"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("split")).alias("new_split"))
+    papers_of = kept.groupBy("root").agg(F.count("*").alias("k"))
     table = cut(
-        kept.join(settled, "root").select(
+        attach(kept, cut(settled.join(papers_of, "root")), ["root"], "k", kept.count()).select(
             F.col("node").alias("paper_stem"),
             "root",
             # papers of a conflicting merge keep the split they had
