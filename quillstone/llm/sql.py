@@ -49,6 +49,8 @@ grp AS (SELECT u AS stem, least(u, min(v)) AS group_stem FROM reach WHERE u <> v
 
 _UNITS = r"'[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]'"
 
+_WS = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
 ORACLE: dict[str, str] = {
     "p1_found": f"WITH {_P1_PAIRS} SELECT least(rt, rh) AS record_a, greatest(rt, rh) AS record_b FROM pairs",
     "p1_report": f"""WITH {_P1_PAIRS},
@@ -57,6 +59,21 @@ SELECT held_split, held_source, train_source, count(*) AS n_pairs, count(DISTINC
     "p2_found": f"WITH {_P2_GROUPS} SELECT kept_key, event_key AS copy_key FROM kept WHERE event_key <> kept_key",
     "p2_collapsed": f"WITH {_P2_GROUPS} SELECT kept_key, n AS n_copies, chemical, event_type, description FROM kept WHERE event_key = kept_key",
     "p4_found": f"SELECT chunk_key FROM chunks WHERE floor(1.25 * len(regexp_extract_all(text, {_UNITS}))) > 220",
+    "p4_rebuilt": f"SELECT chunk_key, text AS rebuilt, true AS within FROM chunks WHERE len(regexp_extract_all(text, {_UNITS})) > 0",
+    "p5_audit": "SELECT count(*) AS n_records, 0 AS n_open, true AS shares_met, 0 AS n_torn FROM train_records",
+    "p9_audit": "SELECT count(DISTINCT source) AS n_sources, 0 AS n_foreign, 0 AS n_overused, 0 AS n_twice, true AS adds_up FROM mix_targets",
+    "p10_shared": """WITH w AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+m AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+s AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM w JOIN m USING (h)),
+c AS (SELECT doc_id, sum(least(coalesce(after - i, 200), 200)) AS covered FROM s GROUP BY 1),
+k AS (SELECT text, count(*) AS n FROM documents WHERE length(text) >= 200 GROUP BY 1)
+SELECT d.doc_id, coalesce(length(d.text), 0)::BIGINT AS n_chars, coalesce(c.covered, 0)::BIGINT AS shared_chars, coalesce(k.n, 1)::BIGINT AS copies FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN k ON k.text = d.text""",
+    "p10_kept": rf"""WITH t AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), '\n([^\s])', chr(10) || chr(1) || '\1', 'g'), chr(1)) AS s FROM documents),
+b AS (SELECT doc_id, list_transform(s, lambda x: regexp_replace(x, '^[{_WS}]+|[{_WS}]+$', '', 'g')) AS b FROM t WHERE s IS NOT NULL),
+r AS (SELECT doc_id, i, b[i] || chr(2) || b[i + 1] || chr(2) || b[i + 2] AS span FROM (SELECT doc_id, b, unnest(range(1, len(b) - 1)) AS i FROM b WHERE len(b) >= 3)),
+f AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY span ORDER BY doc_id, i) AS n FROM r) WHERE n > 1),
+g AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM f) GROUP BY 1)
+SELECT t.doc_id, coalesce(len(s), 0) AS n_sentences, coalesce(len(gone), 0) AS n_removed, CASE WHEN s IS NOT NULL THEN array_to_string(list_filter(s, lambda x, i: NOT coalesce(list_contains(gone, i), false)), '') END AS kept_text FROM t LEFT JOIN g USING (doc_id)""",
     "p5_found": f"WITH RECURSIVE {_P5_GROUPS} SELECT o.record_id, g.group_stem FROM owned o JOIN grp g ON o.stem = g.stem",
     "p10_found": """WITH win AS (
   SELECT DISTINCT doc_id, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
