@@ -19,6 +19,9 @@ SENTINELS = ("no_events", "no event identified", "no aop identified", "### end")
 SENTINEL_LINE = r"(?iU)^\s*(NO_EVENTS|NO\s+EVENT\s+IDENTIFIED|NO\s+AOP\s+IDENTIFIED|###\s*END)\s*$"
 END_MARK = "### END"
 TYPE_ORDER = ("MIE", "KE", "AO")
+#: A numbered compound in a name, and the lead of a list of such numbers in a text.
+NUMBERED = r"(?i)(?:compound|no[.:]?)\s*(\d+)"
+NUMBER_LIST = r"(?iU)(?:compound[s]?|no[.:]?)\s*[\d,and\s]*\b"
 
 
 def label_names(chemical: Column) -> Column:
@@ -76,8 +79,8 @@ def found_name(body: Column, chemical: Column) -> Column:
 
     def look(names: Column) -> Column:
         raw, base, abbr = text(chemical), names["base"], text(names["abbr"])
-        number = F.regexp_extract(base, r"(?i)(?:compound|no[.:]?)\s*(\d+)", 1)
-        listed = (number != "") & F.rlike(text(body), F.concat(F.lit(r"(?iU)(?:compound[s]?|no[.:]?)\s*[\d,and\s]*\b"), number, F.lit(r"\b")))
+        number = F.regexp_extract(base, NUMBERED, 1)
+        listed = (number != "") & F.rlike(text(body), F.concat(F.lit(NUMBER_LIST), number, F.lit(r"\b")))
         hit = (
             F.when(raw == "", F.lit(None).cast("string"))
             .when(contains_words(body, raw), raw)

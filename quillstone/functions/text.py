@@ -83,3 +83,29 @@ def occurrences(haystack: Column, needle: Column) -> Column:
     """How often the needle stands in the haystack, case aside, without overlaps."""
     h, n = F.lower(text(haystack)), F.lower(text(needle))
     return F.when(n == "", 0).otherwise(((F.length(h) - F.length(F.replace(h, n, F.lit("")))) / F.length(n)).cast("int"))
+
+
+def places(haystack: Column, needle: Column) -> Column:
+    """The positions (from 1) of the needle in the haystack, case aside, without overlaps."""
+    h, n = F.lower(text(haystack)), F.lower(text(needle))
+
+    def of(x: Column) -> Column:
+        # the text in front of each place, and the needles before it
+        start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(1).alias("next"))
+        parts = F.split(x, F.concat(F.lit("\\Q"), F.replace(n, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1)
+        step = lambda acc, p: F.struct(F.concat(acc["at"], F.array(acc["next"] + F.length(p))).alias("at"), (acc["next"] + F.length(p) + F.length(n)).alias("next"))
+        return let(parts, lambda ps: F.aggregate(F.slice(ps, F.lit(1), F.size(ps) - 1), start, step, lambda acc: acc["at"]))
+
+    return F.when(n == "", F.array().cast("array<int>")).otherwise(let(h, of))
+
+
+def normal_places(c: Column) -> Column:
+    """For each character of the squeezed text its position (from 1) in the original; a run of white space counts
+    as its first character, none at the ends."""
+    def of(s: Column) -> Column:
+        blank = lambda i: F.substr(s, i, F.lit(1)).rlike(rf"(?U){WS}")
+        first, last = F.length(s) - F.length(lstrip(s)) + 1, F.length(rstrip(s))
+        kept = lambda i: ~blank(i) | ~blank(i - 1)
+        return F.when(first > last, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(first, last), kept))
+
+    return let(text(c), of)

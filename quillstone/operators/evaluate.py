@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,28 +52,36 @@ def first_events(events: DataFrame, group: list[str], order: list[str]) -> DataF
 def semantic_dedup(events: DataFrame, group: list[str], order: str, embedding: str, threshold: float = DEDUP_THRESHOLD) -> DataFrame:
     """Per group, in order, the events whose vectors are below ``threshold`` to all kept before.
 
-    A keep-first scan has no shorter form, so each group is scanned in one Arrow call; groups are the
-    events of one answer with one chemical and type. A vector of length 0 is like no other.
+    A keep-first scan has no shorter form: the rows are sorted by group and order and stream through one Arrow
+    function, which holds the vectors kept of the present group alone. Groups are the events of one answer with one
+    chemical and type. A null vector or one of length 0 is like no other.
     """
-    kinds = {f.name: f.dataType for f in events.schema}
-    out = ", ".join(f"`{n}` {t.simpleString()}" for n, t in kinds.items())
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        rows = pdf.sort_values(order, kind="stable")
-        every = np.stack([np.asarray(v, dtype=float) for v in rows[embedding]])
-        length = np.sqrt((every * every).sum(axis=1, keepdims=True))
-        every = np.divide(every, length, out=np.zeros_like(every), where=length > 0)
-        kept: list[int] = []
-        vectors = np.empty_like(every)
-        for i, x in enumerate(every):
-            if not (vectors[: len(kept)] @ x >= threshold).any():
-                vectors[len(kept)] = x
-                kept.append(i)
-        return rows.iloc[kept]
-
-    return events.groupBy(*group).applyInPandas(scan, out)
+    at, keys = events.columns.index(embedding), [events.columns.index(c) for c in group]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present, kept, size = None, np.empty((0, 0)), 0
+        for batch in batches:
+            names = list(zip(*(batch.column(i).to_pylist() for i in keys)))
+            mask = np.ones(batch.num_rows, dtype=bool)
+            for i, (name, v) in enumerate(zip(names, batch.column(at).to_pylist())):
+                if name != present:
+                    present, size = name, 0
+                x = np.asarray(v if v is not None else [], dtype=float)
+                n = float(np.sqrt(x @ x))
+                if n:
+                    x = x / n
+                    if size and (kept[:size] @ x >= threshold).any():
+                        mask[i] = False
+                        continue
+                    if size == len(kept) or not size:  # room doubles, so copying stays linear
+                        grown = np.empty((max(2 * size, 4), len(x)))
+                        grown[:size] = kept[:size] if size else 0
+                        kept = grown
+                    kept[size] = x
+                    size += 1
+            yield batch.filter(pa.array(mask))
+
+    return events.repartition(*group).sortWithinPartitions(*group, order).mapInArrow(scan, events.schema)
 
 
 def one_to_one(candidates: DataFrame, key: str, by: list[Column]) -> DataFrame:

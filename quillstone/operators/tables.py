@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillstone.functions.columns import let
 from quillstone.functions.text import squeeze
@@ -73,3 +74,9 @@ def serialise(rows: Column, label: Column) -> Column:
         return F.when(F.size(s) > 0, let(F.struct(heads.alias("heads"), fill_down(data).alias("rows")), body))
 
     return let(pad_rows(clean_rows(rows)), write)
+
+
+def numbered(items: DataFrame, key: str, order: list[str], usable: Column, label: str) -> DataFrame:
+    """The usable items of a document with their number and heading: every item takes a number, also one that fails."""
+    ranked = items.withColumn("number", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return ranked.where(usable).withColumn("heading", F.concat(F.lit(f"## {label} "), F.col("number").cast("string"), F.lit(":")))

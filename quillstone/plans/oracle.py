@@ -156,7 +156,7 @@ FROM (SELECT chunk_key, string_split(t, chr(10)) AS l FROM (SELECT chunk_key, ""
     "sections": f"""WITH {_SECTION_LINES},
 sec AS (SELECT doc_id, section_no, {_strip("regexp_replace(max(line) FILTER (heading), '^#+', '')")} AS title, length(regexp_extract(max(line) FILTER (heading), '^#+')) AS level, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT heading), '') AS body FROM ls WHERE section_no > 0 GROUP BY 1, 2)
 SELECT *, NOT {_BLACKLISTED.format(_norm('title'))} AND (body <> '' OR {_sentence_like('title')}) AS kept FROM sec""",
-    "chemical_names": f"""WITH c AS (SELECT DISTINCT trim(replace(string_split(raw_line, ',')[1], '"', ''), ' ') AS chemical FROM label_lines WHERE raw_line IS NOT NULL),
+    "chemical_names": f"""WITH c AS (SELECT DISTINCT chemical FROM chunk_events WHERE chemical IS NOT NULL),
 k AS (SELECT chemical, {_strip('chemical')} AS c, regexp_full_match(chemical, '(?s).* \\[.*\\]') AS sq, regexp_full_match(chemical, '(?s).* \\(.*\\)') AS rd, contains(chemical, ' / ') AS sl, regexp_full_match({_strip('chemical')}, '(?s).* \\(.*\\)') AS rd2 FROM c)
 SELECT chemical,
  CASE WHEN sq THEN {_strip("regexp_extract(chemical, '(?s)^(.*) \\[', 1)")} WHEN rd THEN {_strip("regexp_extract(chemical, '(?s)^(.*) \\(', 1)")} WHEN sl THEN {_strip("string_split(chemical, ' / ')[1]")} ELSE c END AS base,
@@ -172,8 +172,8 @@ FROM chunk_events JOIN chunks USING (paper_stem, chunk_id)""",
     "events_by_chemical": f"""WITH {_MATCHES}, {_BEST.format('AND score >= 68')},
 every AS (SELECT doc_id, event_id, arg_min_null(chemical, pos) AS chemical FROM m GROUP BY 1, 2),
 missed AS (SELECT doc_id, event_id, coalesce(chemical, 'UNKNOWN') AS chemical FROM every e WHERE NOT EXISTS (SELECT 1 FROM m WHERE score >= 68 AND m.doc_id = e.doc_id AND m.event_id = e.event_id)),
-both_ AS (SELECT doc_id, chemical, text FROM best WHERE chemical IS NOT NULL UNION ALL SELECT doc_id, chemical, NULL FROM missed)
-SELECT doc_id, chemical, count(*) AS n_events, count(*) FILTER (text IS NULL) AS n_unmatched FROM both_ GROUP BY 1, 2""",
+both_ AS (SELECT doc_id, chemical, event_id, text FROM best WHERE chemical IS NOT NULL UNION ALL SELECT doc_id, chemical, event_id, NULL FROM missed)
+SELECT doc_id, chemical, count(*) AS n_events, count(*) FILTER (text IS NULL) AS n_unmatched, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS event_ids FROM both_ GROUP BY 1, 2""",
     "report_rows": f"""WITH {_MATCHES}, {_BEST.format('AND score >= 68')},
 e AS (SELECT paper_stem AS doc_id, event_id, arg_min(struct_pack(c := chemical, t := event_type, d := description), event_key) AS e FROM chunk_events GROUP BY 1, 2)
 SELECT e.doc_id, e.event_id, coalesce(e.e.c, '') AS chemical, coalesce(e.e.t, '') AS event_type, coalesce(e.e.d, '') AS description, coalesce(b.score, 0.0) AS match_score, coalesce(b.text, '') AS matched_text

@@ -31,7 +31,9 @@ def score_documents(docs: DataFrame, extractor: Extractor, key: str = "doc_id",
     cleaned = stored(clean_documents(docs.select(key, "text")))
     events = stored(extract_events(build_chunks(cleaned, key, budget=budget), extractor, key))
     blocks = stored(document_parts(cleaned, key, budget=budget))
-    matches = stored(matching.annotate(events, blocks, key, short_only=True))
+    found = stored(matching.annotate(events, blocks, key, short_only=True))
+    # what no block supports stays with the chunk it came from, with score 0
+    matches = found.unionByName(matching.place_unmatched(events, found, blocks, key), allowMissingColumns=True)
     return matches, matching.best_for_csv(events, matches, key)
 
 

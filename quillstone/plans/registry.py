@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillstone.functions import clean, divide, events, fuzzy, text
 from quillstone.functions.columns import let, once
@@ -212,7 +213,7 @@ def parse_stats(spark, d):
 
 
 def _chemicals(spark, d):
-    return _table(spark, d, "label_lines").select(F.trim(F.translate(F.split("raw_line", ",")[0], '"', "")).alias("chemical")).where("chemical IS NOT NULL").distinct()
+    return _table(spark, d, "chunk_events").select("chemical").where("chemical IS NOT NULL").distinct()
 
 
 @query
@@ -254,11 +255,11 @@ def annotate_chunks(spark, d):
 
 @query
 def fuzzy_scores(spark, d):
-    """Description of each event against the description of the same event number in the next chunk."""
-    ev = _table(spark, d, "chunk_events").where("event_key IS NOT NULL")
-    a = ev.groupBy("paper_stem", "chunk_id", "event_id").agg(F.min_by("description", "event_key").alias("a"), F.min("event_key").alias("event_key"))
-    b = a.select("paper_stem", (F.col("chunk_id") - 1).alias("chunk_id"), "event_id", F.col("a").alias("b"))
-    sim = once(a.join(b, ["paper_stem", "chunk_id", "event_id"]), "s", fuzzy.similarities(text.norm(F.col("a")), text.norm(F.col("b"))))
+    """Description of each event against that of the next event of its paper (by number; the first delivery counts)."""
+    ev = _table(spark, d, "chunk_events").where("event_key IS NOT NULL AND paper_stem IS NOT NULL")
+    a = ev.groupBy("paper_stem", "event_id").agg(F.min_by(F.struct(F.col("description").alias("d")), "event_key")["d"].alias("a"), F.min("event_key").alias("event_key"))
+    b = a.select("paper_stem", (F.col("event_id") - 1).alias("event_id"), F.col("a").alias("b"))
+    sim = once(a.join(b, ["paper_stem", "event_id"]), "s", fuzzy.similarities(text.norm(F.col("a")), text.norm(F.col("b"))))
     return sim.select("event_key", F.bround("s.pr", 6).alias("partial"), F.bround("s.ts", 6).alias("token_set"), F.bround(fuzzy.blend(F.col("s")), 6).alias("fuzzy"))
 
 
@@ -289,7 +290,8 @@ def unmatched_events(spark, d):
 def events_by_chemical(spark, d):
     m = _matches(spark, d).where("score >= 68")
     missed = matching.unmatched(_matches(spark, d).groupBy("doc_id", "event_id").agg(F.min_by("chemical", "pos").alias("chemical")), m)
-    return matching.events_by_chemical(m, missed).select("doc_id", "chemical", "n_events", "n_unmatched")
+    ids = F.array_join(F.transform("events", lambda e: e["event_id"].cast("string")), ",")
+    return matching.events_by_chemical(m, missed).select("doc_id", "chemical", "n_events", "n_unmatched", ids.alias("event_ids"))
 
 
 @query
@@ -349,12 +351,6 @@ def evaluate_records(spark, d):
     return evaluate.evaluate_records(_table(spark, d, "eval_preds"))
 
 
-@query
-def evaluate_groups(spark, d):
-    preds = _table(spark, d, "eval_preds")
-    return evaluate.evaluate_groups(preds, preds.select("pair_id", F.floor(F.col("pair_id") / 8).alias("grp")), "pair_id", "grp")
-
-
 @query
 def evaluation_totals(spark, d):
     t = evaluate.totals(evaluate.evaluate_records(_table(spark, d, "eval_preds")))
@@ -365,8 +361,7 @@ def evaluation_totals(spark, d):
 def cosine_neighbours(spark, d):
     """Cosine of each vector with the next one of its label."""
     e = _table(spark, d, "embeddings")
-    n = e.groupBy("label").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    nxt = n.select(F.explode(F.arrays_zip(F.slice("ids", F.lit(1), F.size("ids") - 1).alias("a"), F.slice("ids", F.lit(2), F.size("ids") - 1).alias("b"))).alias("p")).select("p.a", "p.b")
+    nxt = e.select(F.col("vec_id").alias("a"), F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id")).alias("b")).where("b IS NOT NULL")
     pairs = nxt.join(e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), "a").join(e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "b")
     return pairs.select("a", "b", F.bround(evaluate.cosine(F.col("x"), F.col("y")), 5).alias("cosine"))
 

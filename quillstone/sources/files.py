@@ -130,6 +130,21 @@ def write_texts(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select("file", F.col("content").alias("value")).write.mode(mode).partitionBy("file").text(path)
 
 
+def write_lines(df: DataFrame, order: list[str], path: str, mode: str = "overwrite") -> None:
+    """(file, line) rows as text, one folder per file name, in ``order``: the parts of a folder follow each other by
+    name, so a long report is never sorted in one task."""
+    placed = df.repartitionByRange("file", *order).sortWithinPartitions("file", *order)
+    placed.select("file", F.col("line").alias("value")).write.mode(mode).partitionBy("file").text(path)
+
+
+def record_report(counts: DataFrame, totals: DataFrame, key: str = "pair_id") -> DataFrame:
+    """file, part, place, line: the text report of an evaluation, a line per record and the summary behind them."""
+    hits = F.concat_ws("/", *[F.col(c).cast("bigint").cast("string") for c in ("tp", "fp", "fn")])
+    said = lambda lead: F.concat(lead, F.lit(" tp/fp/fn "), hits, F.format_string(" precision %.4f recall %.4f f1 %.4f", "precision", "recall", "f1"))
+    rows = counts.select(F.lit("report.txt").alias("file"), F.lit(0).alias("part"), F.col(key).cast("string").alias("place"), said(F.concat(F.lit("record "), F.col(key).cast("string"))).alias("line"))
+    return rows.unionByName(totals.select(F.lit("report.txt").alias("file"), F.lit(1).alias("part"), F.lit("").alias("place"), said(F.lit("all")).alias("line")))
+
+
 @dataclass(frozen=True)
 class Settings:
     """Settings of the pipeline, from an INI file; what is missing keeps its default."""
