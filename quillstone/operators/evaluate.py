@@ -15,7 +15,7 @@ from quillstone.functions.columns import once
 from quillstone.functions.events import name_set, parse_events, prf
 from quillstone.functions.text import norm
 from quillstone.operators.skew import spread
-from quillstone.session import cut
+from quillstone.session import balanced, cut
 
 #: Gives the vector (array<double>) of a text as a column function.
 Embedder = Callable[[Column], Column]
@@ -130,7 +130,8 @@ def match_events(gold: DataFrame, pred: DataFrame, key: str, description_sim: Ca
     left_g = cut(g.join(exact.select(key, "g"), [key, "g"], "left_anti").drop("said"))
     left_p = cut(p.join(exact.select(key, "p"), [key, "p"], "left_anti").drop("said"))
     counts = cut(left_p.groupBy(key).agg(F.count("*").alias("n")))
-    pairs = spread(left_p, left_g, [key], counts, left_p.count())
+    n_pairs = counts.join(left_g.groupBy(key).agg(F.count("*").alias("m")), key).agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).first()[0]
+    pairs = balanced(spread(left_p, left_g, [key], counts, left_p.count()), n_pairs, key, "p", "g")
     gated = once(pairs, "chem", F.when(F.arrays_overlap("pn", "gn"), 1.0).otherwise(fuzzy.fuzzy_score(F.col("pc"), F.col("gc")))).where(F.col("chem") >= MIN_CHEMICAL)
     desc = fuzzy.fuzzy_score(F.col("pd"), F.col("gd")) if description_sim is None else description_sim(gated)
     near = once(gated, "similarity", 0.4 * F.col("chem") + 0.6 * desc).where(F.col("similarity") >= threshold).select(key, "p", "g", "similarity")

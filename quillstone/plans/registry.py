@@ -14,7 +14,7 @@ from quillstone.functions.columns import let, once
 from quillstone.operators import dataset, evaluate, layout, matching, parse_rows, tables
 from quillstone.operators.skew import attach
 from quillstone.plans import pipeline
-from quillstone.session import cut, in_parallel
+from quillstone.session import balanced, cut, in_parallel
 from quillstone.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -259,7 +259,8 @@ def fuzzy_scores(spark, d):
     ev = _table(spark, d, "chunk_events").where("event_key IS NOT NULL AND paper_stem IS NOT NULL")
     a = ev.groupBy("paper_stem", "event_id").agg(F.min_by(F.struct(F.col("description").alias("d")), "event_key")["d"].alias("a"), F.min("event_key").alias("event_key"))
     b = a.select("paper_stem", (F.col("event_id") - 1).alias("event_id"), F.col("a").alias("b"))
-    sim = once(a.join(b, ["paper_stem", "event_id"]), "s", fuzzy.similarities(text.norm(F.col("a")), text.norm(F.col("b"))))
+    pairs = cut(a.join(b, ["paper_stem", "event_id"]))
+    sim = once(balanced(pairs, pairs.count(), "event_key"), "s", fuzzy.similarities(text.norm(F.col("a")), text.norm(F.col("b"))))
     return sim.select("event_key", F.bround("s.pr", 6).alias("partial"), F.bround("s.ts", 6).alias("token_set"), F.bround(fuzzy.blend(F.col("s")), 6).alias("fuzzy"))
 
 

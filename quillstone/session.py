@@ -92,3 +92,14 @@ def in_parallel(scan: DataFrame, key: str) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan._jdf.queryExecution().toRdd().getNumPartitions() >= cores else scan.repartition(cores, key)
+
+
+#: Fuzzy comparisons in one task: some milliseconds each.
+PAIRS_A_TASK = 2000
+
+
+def balanced(pairs: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``n`` pairs that are compared in Python, spread by ``keys``: the planner sizes tasks by bytes, and would give a few
+    megabytes of pairs, each worth milliseconds, to one core."""
+    cores = pairs.sparkSession.sparkContext.defaultParallelism
+    return pairs.repartition(max(cores, -(-n // PAIRS_A_TASK)), *keys)
