@@ -124,6 +124,28 @@ def _sentence_like(t: str) -> str:
     return f"({_strip(t)} <> '' AND (regexp_matches({_strip(t)}, '[.!?]$') OR (len(string_split({_squeeze(t)}, ' ')) >= 6 AND regexp_matches({t}, '[a-z]')) OR regexp_matches(lower({t}), '(^|[^{_W}])(explains|shows|demonstrates|indicates|suggests|causes|leads)([^{_W}]|$)')))"
 
 
+_SECTIONS = f"""{_SECTION_LINES},
+sec AS (SELECT doc_id, section_no, {_strip("regexp_replace(max(line) FILTER (heading), '^#+', '')")} AS title, length(regexp_extract(max(line) FILTER (heading), '^#+')) AS level, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT heading), '') AS body FROM ls WHERE section_no > 0 GROUP BY 1, 2),
+judged AS (SELECT *, NOT {_BLACKLISTED.format(_norm('title'))} AND (body <> '' OR {_sentence_like('title')}) AS kept FROM sec)"""
+
+
+def _packed(parts: str, glue: str) -> str:
+    """A fold over a list of texts: joined as long as they stay within 176 units."""
+    cell = f"list_transform({parts}, lambda q: {{'done': []::VARCHAR[], 'cur': q, 'n': {_units('q')}}})"
+    fold = f"list_reduce({cell}, lambda a, b: CASE WHEN a.n + b.n <= 176 THEN {{'done': a.done, 'cur': a.cur || {glue} || b.cur, 'n': a.n + b.n}} ELSE {{'done': list_append(a.done, a.cur), 'cur': b.cur, 'n': b.n}} END)"
+    return f"CASE WHEN len({parts}) = 0 THEN []::VARCHAR[] ELSE list_append(({fold}).done, ({fold}).cur) END"
+
+
+_CHUNKS = f"""{_SECTIONS},
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section_no) - 1 AS section_index FROM judged WHERE kept),
+units AS (SELECT doc_id, section_index, title, level, unnest(range(1, len(u) + 1)) AS i, u FROM (SELECT doc_id, section_index, title, level, CASE WHEN {_strip('title')} = '' THEN []::VARCHAR[] ELSE ['## ' || {_strip('title')} || CASE WHEN regexp_matches({_strip('title')}, '[.!?:]$') THEN '' ELSE '.' END || chr(10)] END || flatten(list_transform(string_split({_strip('body')}, chr(10)), lambda y: {_sentences('y')})) AS u FROM k)),
+clauses AS (SELECT doc_id, section_index, title, level, i, u[i] AS unit, CASE WHEN {_units('u[i]')} <= 176 THEN []::VARCHAR[] ELSE list_filter(list_transform(string_split(regexp_replace(u[i], '([;,:])[{_WS}]+', '\1<CUT>', 'g'), '<CUT>'), lambda y: {_strip('y')}), lambda y: y <> '') END AS c FROM units),
+cut_ AS (SELECT doc_id, section_index, title, level, i, CASE WHEN len(c) = 0 THEN [unit] WHEN len(c) > 1 AND len(list_filter(c, lambda y: {_tokens('y')} >= {_tokens('unit')})) = 0 THEN {_packed('c', "' '")} ELSE {_packed("string_split(" + _squeeze('unit') + ", ' ')", "' '")} END AS parts FROM clauses),
+whole AS (SELECT doc_id, section_index, title, level, flatten(list(parts ORDER BY i)) AS p FROM cut_ GROUP BY ALL),
+rows_ AS (SELECT doc_id, section_index, title, level, unnest(range(1, len(t) + 1)) AS place, t FROM (SELECT doc_id, section_index, title, level, {_packed('p', "CASE WHEN right(a.cur, 1) = chr(10) THEN '' ELSE ' ' END")} AS t FROM whole)),
+chunks_ AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section_index, place) - 1 AS chunk_id, section_index, title AS section_title, level AS section_level, {_tokens('t[place]')} AS token_count, t[place] AS text FROM rows_)"""
+
+
 ORACLE: dict[str, str] = {
     "p6_found": f"WITH {_P6} SELECT src, row_id, line_no, reason FROM reasoned WHERE reason IS NOT NULL",
     "p6_sound": f"WITH {_P6} SELECT src, row_id, line_no, f[1] AS chemical, upper(f[2]) AS event_type, f[3] AS description_short, CASE WHEN src = 'label_lines' THEN f[4] END AS description_long FROM reasoned WHERE reason IS NULL",
@@ -153,9 +175,13 @@ FROM (SELECT chunk_key, string_split(t, chr(10)) AS l FROM (SELECT chunk_key, ""
     "heading_tests": f"""SELECT chunk_key, section_level > 0 AS is_heading, CASE WHEN section_level > 0 THEN {_strip('section_title')} ELSE {_strip('section_title')} END AS title, section_level AS level,
  {_BLACKLISTED.format(_norm('section_title'))} AS blacklisted, {_sentence_like('section_title')} AS sentence_like FROM chunks WHERE section_title IS NOT NULL""",
     "text_lines": f"WITH {_SECTION_LINES} SELECT doc_id, pos, line, heading, section_no FROM ls",
-    "sections": f"""WITH {_SECTION_LINES},
-sec AS (SELECT doc_id, section_no, {_strip("regexp_replace(max(line) FILTER (heading), '^#+', '')")} AS title, length(regexp_extract(max(line) FILTER (heading), '^#+')) AS level, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT heading), '') AS body FROM ls WHERE section_no > 0 GROUP BY 1, 2)
-SELECT *, NOT {_BLACKLISTED.format(_norm('title'))} AND (body <> '' OR {_sentence_like('title')}) AS kept FROM sec""",
+    "sections": f"WITH {_SECTIONS} SELECT * FROM judged",
+    "chunk_pack": f"WITH {_CHUNKS} SELECT * FROM chunks_",
+    "chunk_sizes": f"WITH {_CHUNKS} SELECT doc_id, count(*) AS n_chunks, max(token_count) AS most_tokens, max(section_index) AS last_section FROM chunks_ GROUP BY 1",
+    "document_blocks": f"""WITH {_CHUNKS},
+blocks AS (SELECT doc_id, 'lines' AS kind, line AS text FROM ls WHERE NOT heading UNION ALL SELECT doc_id, 'sentences', unnest({_sentences('line')}) FROM ls WHERE NOT heading
+ UNION ALL SELECT doc_id, 'paragraphs', body FROM sec UNION ALL SELECT doc_id, 'chunks', text FROM chunks_)
+SELECT doc_id, kind, count(*) AS n_blocks, sum(length(text))::BIGINT AS n_chars FROM blocks GROUP BY 1, 2""",
     "chemical_names": f"""WITH c AS (SELECT DISTINCT chemical FROM chunk_events WHERE chemical IS NOT NULL),
 k AS (SELECT chemical, {_strip('chemical')} AS c, regexp_full_match(chemical, '(?s).* \\[.*\\]') AS sq, regexp_full_match(chemical, '(?s).* \\(.*\\)') AS rd, contains(chemical, ' / ') AS sl, regexp_full_match({_strip('chemical')}, '(?s).* \\(.*\\)') AS rd2 FROM c)
 SELECT chemical,
