@@ -84,7 +84,11 @@ def split_fields(pieces: Column) -> Column:
 
 
 def classify_rows(rows: DataFrame, raw: str, fields: tuple[str, ...], required: tuple[str, ...]) -> DataFrame:
-    """``rows`` with the columns ``reason`` (null: sound), ``corrupt`` and ``fields`` (a struct of typed fields)."""
+    """``rows`` with the columns ``reason`` and ``corrupt`` (the raw text of a faulty row), both null for sound
+    rows, and ``fields`` (a struct of typed fields, null for faulty ones).
+
+    The reader's reading is taken where it gives back the raw row; all others are reclassified.
+    """
     schema = ", ".join(f"{f} STRING" for f in (*fields, "_corrupt"))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}
     read = once(rows.where(is_row(F.col(raw))), "__read", F.from_csv(F.col(raw), schema, options))
@@ -105,7 +109,7 @@ def classify_rows(rows: DataFrame, raw: str, fields: tuple[str, ...], required:
     typed = F.struct(*[(F.upper(named[x]) if x == "event_type" else named[x]).alias(x) for x in fields])
     return (
         once(split, "reason", reason)
-        .withColumn("corrupt", F.when(~F.col("__plain"), F.col(raw)))
+        .withColumn("corrupt", F.when(F.col("reason").isNotNull(), F.col(raw)))
         .withColumn("fields", F.when(F.col("reason").isNull(), typed))
         .drop("__read", "__plain", "__pieces", "__quoted", "__fields")
     )

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillstone.functions.events import event_line, row_fields
 from quillstone.functions.text import lines_of, strip, text
@@ -70,15 +71,17 @@ def read_json(spark: SparkSession, folder: str, stage: str, pattern: str = "*.js
 
 
 def read_jsonl(spark: SparkSession, path: str, stage: str) -> DataFrame:
-    """record_no (from 1, over lines that are not blank) and the declared fields.
+    """doc_id (the file's stem), record_no (from 1 in each file, over lines that are not blank) and the declared fields.
 
-    Places come from the whole text of each file, so they are exact and repeatable; blank lines count for
-    nothing. A file is one row here; corpora are expected as tables.
+    Files are split as usual. A line's number is the count of lines in the blocks of its file before its own, which is one
+    row for each block, and its place in the block; so no file is read whole or sorted in one task.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    kept = F.filter(lines_of(F.col("text")), lambda x: strip(x) != "")
-    rows = files.select("path", F.posexplode(kept).alias("pos", "line"))
-    return rows.select((F.col("pos") + 1).alias("record_no"), F.from_json("line", SCHEMAS[stage]).alias("r")).select("record_no", "r.*")
+    at = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    lines = spark.read.text(path).select(*at, F.col("value").alias("line")).where(strip(F.col("line")) != "")
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("path", "block").agg(F.count("*").alias("n")).select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    placed = lines.withColumn("place", F.row_number().over(Window.partitionBy("path", "block").orderBy("at"))).join(blocks, ["path", "block"])
+    return placed.select(stem_of(F.col("path")).alias("doc_id"), (F.col("offset") + F.col("place")).alias("record_no"), F.from_json("line", SCHEMAS[stage]).alias("r")).select("doc_id", "record_no", "r.*")
 
 
 def read_labels(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
@@ -106,6 +109,15 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def paper_documents(rows: DataFrame, key: str, order: list[str], fields: list[str], name: str) -> DataFrame:
+    """file, content: for each paper one indented JSON document {key, name: [fields of its rows in order]}; nulls are
+    written, non-ASCII is kept. A document is one text, so a paper's rows meet in one row here."""
+    item = F.struct(*[F.col(c).alias(f"__{i}") for i, c in enumerate(order)], F.struct(*fields).alias("__item"))
+    listed = rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["__item"]).alias(name))
+    said = F.to_json(F.struct(key, name), {"ignoreNullFields": "false", "pretty": "true"})
+    return listed.select(F.concat(F.col(key).cast("string"), F.lit(".json")).alias("file"), said.alias("content"))
+
+
 def write_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON lines without internal columns (those that begin with an underscore)."""
     write_json(df.drop(*[c for c in df.columns if c.startswith("_")]), path, mode)

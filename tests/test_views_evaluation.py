@@ -120,3 +120,34 @@ def test_stored_tables_are_dropped_and_small_scans_spread(spark):
     df = stored(spark.range(10))
     assert in_parallel(df, "id").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and df.count() == 10
     assert drop_stored(spark) >= 1 and drop_stored(spark) == 0
+
+
+def test_lines_are_numbered_in_each_file(spark, tmp_path):
+    import json
+
+    (tmp_path / "in").mkdir()
+    for name, n in (("a", 300), ("b", 7)):
+        (tmp_path / "in" / f"{name}.jsonl").write_text("\n\n".join(json.dumps({"messages": [{"role": "user", "content": f"{name}{i}"}]}) for i in range(1, n + 1)) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")  # the first file has several blocks
+    try:
+        rows = files.read_jsonl(spark, str(tmp_path / "in"), "records").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == 307 and all(r.messages[0].content == f"{r.doc_id}{r.record_no}" for r in rows)
+
+
+def test_one_document_for_each_paper(spark):
+    import json
+
+    rows = spark.createDataFrame([("p", 2, "b", None), ("p", 1, "ü", 1), ("q", 1, None, 2)], "paper string, id int, t string, n int")
+    got = {r.file: json.loads(r.content) for r in files.paper_documents(rows, "paper", ["id"], ["t", "n"], "events").collect()}
+    assert got == {"p.json": {"paper": "p", "events": [{"t": "ü", "n": 1}, {"t": "b", "n": None}]}, "q.json": {"paper": "q", "events": [{"t": None, "n": 2}]}}
+
+
+def test_corrupt_text_is_kept_for_faulty_rows_alone(spark):
+    from quillstone.operators import parse_rows
+
+    rows = spark.createDataFrame([(1, "p", 0, "a,KE,b,c"), (2, "p", 1, '"a","KE"')], "label_id long, paper_stem string, line_no int, raw_line string")
+    got = {r.row_id: (r.reason, r.corrupt) for r in parse_rows.label_rows(rows).collect()}
+    assert got == {1: (None, None), 2: ("column_count", '"a","KE"')}
