@@ -437,3 +437,32 @@ def test_repeated_sentences_are_removed(spark):
     df = spark.createDataFrame([(1, a), (2, b), (3, None), (4, "x")], "doc_id long, text string")
     got = {r.doc_id: (r.n_removed, re.sub(r"\s+", " ", r.kept_text or "").strip()) for r in spans.drop_repeated_sentences(df).collect()}
     assert got[1] == (0, a) and got[2] == (3, "Start. End.") and got[3][0] == 0 and got[4] == (0, "x")
+
+
+# ---------------------------------------------------------------- hot groups
+
+
+def test_a_notice_in_most_texts_is_covered_without_pairs(spark):
+    notice = "This standard notice stands in nearly all of the texts. " * 5
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 9, F.concat(F.lit("other "), F.col("id"))).otherwise(F.concat(F.lit("begin "), F.col("id"), F.lit(". "), F.lit(notice), F.lit(" end "), F.col("id") * 7919)).alias("text"))
+    rows = spans.shared_extent(docs).selectExpr("doc_id % 10 = 9 AS other", "shared_chars").distinct().collect()
+    assert {r.shared_chars for r in rows if r.other} == {0}
+    # the blanks and signs around the notice are shared too; digits beside them may agree by chance
+    assert all(len(notice) + 6 <= r.shared_chars <= len(notice) + 20 for r in rows if not r.other)
+    assert spans.shared_extent(docs.limit(0)).count() == 0
+
+
+def test_a_third_of_all_records_may_be_one_passage(spark):
+    said = lambda t: F.array(F.struct(F.lit("user").alias("role"), t.alias("content")))
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.concat(F.lit("w"), F.hash("id", i))), " ")
+    text = F.when(F.col("id") % 3 == 0, F.lit("the same passage stands here in very many of the records")).otherwise(words)
+    split = F.when(F.col("id") < 6, "test").otherwise("train")
+    df = spark.range(6000).select(F.col("id").alias("record_id"), split.alias("split"), F.lit("s").alias("source"), said(text).alias("messages"))
+    got = overlap.overlapping_records(df)
+    assert got.count() == 2 * 1998 and got.select("record_a").distinct().count() == 2 and got.where("record_a >= record_b").count() == 0
+    assert {(r.n_pairs, r.n_records) for r in overlap.overlap_report(df).collect()} == {(2 * 1998, 2)}
+
+
+def test_copies_of_one_text_pair_in_salted_tasks(spark):
+    docs = spark.range(1400).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1100, F.repeat(F.lit("Same text. "), 30)).otherwise(F.concat(F.lit("x"), F.col("id"))).alias("text"))
+    assert spans.shared_pairs(docs).count() == 1100 * 1099 // 2
