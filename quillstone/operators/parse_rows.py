@@ -1,8 +1,8 @@
 """Rows that fail to parse: separate faulty delimited rows, with the reason, from typed sound rows.
 
 Each row is first read permissively (``from_csv`` under an explicit schema). A reading that reproduces
-the raw row when quoted again is taken as it is; any other row keeps its raw text as corrupt and is
-reclassified. The reason is the first that holds of
+the raw row when quoted again is taken as it is; any other row is reclassified from its raw text, which
+faulty rows keep as corrupt. The reason is the first that holds of
 
 * ``broken_quoting``  a quoted field is not closed, or has text after its closing quote, or an unquoted
   field holds a quote;
