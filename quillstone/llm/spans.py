@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillstone.functions.columns import let, once
 from quillstone.operators.skew import attach, spread
 from quillstone.session import cut, stored
 
@@ -353,9 +354,10 @@ def drop_repeated_sentences(docs: DataFrame, key: str = "doc_id", text: str = "t
     Texts of fewer than ``run`` sentences and null texts lose nothing (a null text stays null).
     """
     pieces = F.split("text", r"(?<=[.!?])(?=\s)|(?<=\n)(?=\S)", -1)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("s", pieces)
+    # the sentences are computed once: inside a lambda they would be computed for every run
+    rows = once(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "s", pieces)
     bare = F.transform("s", lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
-    hashed = F.transform(F.sequence(F.lit(1), F.size("s") - run + 1), lambda i: F.xxhash64(F.concat_ws("\u0001", F.slice(bare, i, run))))
+    hashed = let(bare, lambda b: F.transform(F.sequence(F.lit(1), F.size(b) - run + 1), lambda i: F.xxhash64(F.concat_ws("\u0001", F.slice(b, i, run)))))
     spans = cut(rows.where(F.size("s") >= run).select("key", F.posexplode(hashed).alias("pos", "span")))
     first = spans.groupBy("span").agg(F.min(F.struct("key", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = cut(first)
