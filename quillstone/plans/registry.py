@@ -629,4 +629,5 @@ def score_predictions(spark, d):
     preds = _table(spark, d, "eval_preds")
     ev = evaluate.answer_events(preds, "pair_id", "pred")
     withtext = ev.join(preds.select("pair_id", events.prompt_passage(F.col("prompt")).alias("passage")), "pair_id")
-    return matching.score_predictions(withtext, "passage").select("pair_id", "pos", "score", "chemical_found")
+    rows = cut(withtext)
+    return matching.score_predictions(balanced(rows, rows.count(), "pair_id", "pos"), "passage").select("pair_id", "pos", "score", "chemical_found")
