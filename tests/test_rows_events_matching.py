@@ -135,6 +135,26 @@ def test_candidate_join_loses_nothing(spark):
     assert sorted(map(tuple, fast)) == sorted(map(tuple, slow)) and slow
 
 
+def test_pairs_below_the_threshold_are_not_scored(spark):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices("abcdefghijklmnoprstuvwy5", k=rnd.randint(2, 10))) for _ in range(400)]
+    said = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    shorts, longs = [said(rnd.randint(5, 12)) for _ in range(60)], [said(16) for _ in range(60)]
+    longs[:20], shorts[20:22], longs[22] = [""] * 20, ["", " "], " ... "
+    ev = [("d", i, "Zinc oxide" if i % 3 else "zinc (Zn)", "KE", s, x) for i, (s, x) in enumerate(zip(shorts, longs))]
+    worn = lambda x: "".join(c for c in x if rnd.random() < 0.93)
+    bl = [("d", rnd.choice(matching.KINDS), i, None, f"{said(rnd.randint(0, 60))} {worn(rnd.choice(shorts))} Zinc  oxide {worn(rnd.choice(longs))} {said(rnd.randint(0, 60))}") for i in range(60)]
+    e = spark.createDataFrame(ev, "doc_id string, event_id int, chemical string, event_type string, description_short string, description_long string")
+    b = spark.createDataFrame(bl, "doc_id string, kind string, pos int, title string, text string")
+    for short_only in (True, False):
+        every = {(r.event_id, r.kind, r.pos): r.score for r in matching.score_pairs(e, b, short_only=short_only).collect()}
+        true = {k for k, v in every.items() if v >= 68}
+        near = {tuple(r) for r in matching.reaching_pairs(e, b, "doc_id", short_only, 68.0).select("event_id", "kind", "pos").collect()}
+        assert len(every) == 60 * 60 and true <= near and 20 < len(near) < len(every) / 2
+        top = {(r.event_id, r.kind, r.pos): r.score for r in matching.annotate(e, b, short_only=short_only, top_k={}).collect()}
+        assert top == {k: round(every[k], 3) for k in true}
+
+
 def test_line_metrics(spark):
     df = spark.createDataFrame([([], []), (["a"], []), (["a", "b"], ["a", "c", "b"]), (["a", "a"], ["a"])], "p array<string>, g array<string>")
     got = [(r.o.ordered_exact, round(r.o.ordered_line_acc, 3), tuple(r.s)) for r in df.select(events.ordered_metrics(F.col("p"), F.col("g")).alias("o"), events.set_counts(F.col("p"), F.col("g")).alias("s")).collect()]
