@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quillstone.functions import events, fuzzy
+from quillstone.functions import bounds, events, fuzzy
 from quillstone.functions.columns import once
 from quillstone.operators import evaluate, matching, parse_rows
 from quillstone.operators.skew import attach
@@ -155,6 +155,24 @@ def test_pairs_below_the_threshold_are_not_scored(spark):
         assert top == {k: round(every[k], 3) for k in true}
 
 
+def _worn_texts(seed):
+    rnd = random.Random(seed)
+    words = ["".join(rnd.choices("abcdefghijklmnoprstuvwy5", k=rnd.randint(2, 10))) for _ in range(200)]
+    said = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    worn = lambda x, share: "".join(c for c in x if rnd.random() < share)
+    shorts, longs = [said(rnd.randint(1, 20)) for _ in range(12)], [said(rnd.randint(1, 40)) for _ in range(12)]
+    texts = [" ".join(f"{said(rnd.randint(0, 90))} {worn(rnd.choice(shorts), rnd.choice([1, 0.95, 0.8, 0.6]))} {worn(rnd.choice(longs), rnd.choice([1, 0.9, 0.7]))}"[rnd.randint(0, 40) :].split()) for _ in range(40)]
+    return shorts, longs, texts
+
+
+def test_bounds_leave_what_reaches_the_threshold():
+    shorts, longs, texts = _worn_texts(3)
+    for least in (40.0, 68.0, 85.0):
+        for quoted in ([""] * 12, longs):
+            true = [[s in t or (x != "" and x in t) or (fuzzy.reached(t, s, x, least) or 0) >= least for t in texts] for s, x in zip(shorts, quoted)]
+            assert bounds.may_reach(shorts, quoted, texts, least).tolist() == true and 0 < sum(map(sum, true)) < 12 * 40
+
+
 def test_line_metrics(spark):
     df = spark.createDataFrame([([], []), (["a"], []), (["a", "b"], ["a", "c", "b"]), (["a", "a"], ["a"])], "p array<string>, g array<string>")
     got = [(r.o.ordered_exact, round(r.o.ordered_line_acc, 3), tuple(r.s)) for r in df.select(events.ordered_metrics(F.col("p"), F.col("g")).alias("o"), events.set_counts(F.col("p"), F.col("g")).alias("s")).collect()]
