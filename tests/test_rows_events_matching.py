@@ -173,6 +173,17 @@ def test_bounds_leave_what_reaches_the_threshold():
             assert bounds.may_reach(shorts, quoted, texts, least).tolist() == true and 0 < sum(map(sum, true)) < 12 * 40
 
 
+def test_partial_ratio_sees_every_window():
+    shorts, longs, texts = _worn_texts(4)
+    for s, t in zip([*shorts, *longs], texts):
+        m, n = sorted((len(s), len(t)))
+        short, long_ = sorted((s, t), key=len)
+        windows = [long_[max(0, i) : i + m] for i in range(1 - m, n)]
+        best = 100.0 if short in long_ else max(fuzzy.ratio(short, w) for w in windows)
+        assert abs(fuzzy.partial_ratio(s, t) - best) < 1e-9
+        assert abs(fuzzy.partial_ratio(s, t, best - 1e-6) - best) < 1e-9 and (best == 100 or fuzzy.partial_ratio(s, t, best + 1) < best + 1)
+
+
 def test_line_metrics(spark):
     df = spark.createDataFrame([([], []), (["a"], []), (["a", "b"], ["a", "c", "b"]), (["a", "a"], ["a"])], "p array<string>, g array<string>")
     got = [(r.o.ordered_exact, round(r.o.ordered_line_acc, 3), tuple(r.s)) for r in df.select(events.ordered_metrics(F.col("p"), F.col("g")).alias("o"), events.set_counts(F.col("p"), F.col("g")).alias("s")).collect()]
